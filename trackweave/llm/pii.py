@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -249,9 +250,7 @@ def detect(df: DataFrame, text: str = "text", spans: str = "pii_spans") -> DataF
     """
 
     @F.pandas_udf(SPANS)
-    def spans_of(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def spans_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([[{"kind": k, "start": a, "end": b, "base": base} for k, a, b, base in find(x or "")] for x in texts])
 
