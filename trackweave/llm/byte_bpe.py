@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackweave.llm import pretokens
 from trackweave.llm.common import slices, table
@@ -158,28 +159,29 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_decode(df: DataFrame, ranks: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ids array<int>, decoded binary) of every row.
+def encode_decode(df: DataFrame, ranks: str, text: str = "text") -> DataFrame:
+    """df without its text, with ids array<int> and decoded binary for every row.
 
     ranks: path of a file of byte tokens and ranks. Null text encodes as the empty text (no ids,
-    no bytes). Keys may be null or repeated and other columns are ignored; an empty table gives
-    an empty result. decoded is made from ids alone and equals the UTF-8 bytes of the text.
+    no bytes). All other columns and repeated rows stay, null keys too (columns already named ids
+    or decoded are replaced); an empty table gives an empty result. decoded is made from ids alone
+    and equals the UTF-8 bytes of the text.
     """
+    others = [c for c in df.columns if c not in (text, "ids", "decoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks)
         for batch in batches:
-            for a, b in slices(batch.column(1)):
-                coded = enc.texts([x or "" for x in batch.column(1).slice(a, b - a).to_pylist()])
+            for a, b in slices(batch.column(0)):
+                coded = enc.texts([x or "" for x in batch.column(0).slice(a, b - a).to_pylist()])
                 ids = np.frombuffer(b"".join(coded), "<i4")
                 offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in coded]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
                 decoded = [enc.decode(np.frombuffer(x, "<i4").tolist()) for x in coded]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, pa.array(decoded, pa.binary())], names=["key", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), lists, pa.array(decoded, pa.binary())], names=[*others, "ids", "decoded"])
 
-    kind = df.schema[key].dataType.simpleString()
-    out = df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(run, f"key {kind}, ids array<int>, decoded binary")
-    return out.withColumnRenamed("key", key)
+    schema = T.StructType([*(df.schema[c] for c in others), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+    return df.select(df[text], *(df[c] for c in others)).mapInArrow(run, schema)
 
 
 def digests(coded: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -196,4 +198,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: round trip of all documents through byte_bpe_multi_50k.tiktoken."""
     import public_tokenizers
 
-    return digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    return digests(encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))

@@ -199,6 +199,15 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, text: str =
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", key)
 
 
+def one_of_each(df: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of df whose key is the smallest of its near duplicates, with all their columns.
+
+    Rows that share a key are one document and go or stay together; null keys stay.
+    """
+    gone = near_duplicates(df, size, percent, text, key).filter(~F.col("kept")).select(F.col(key).alias("gone")).distinct().alias("gone")
+    return df.alias("docs").join(gone, F.col(f"docs.{key}") == F.col("gone.gone"), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: near duplicates of all documents, by two-word shingles as the contract has it."""
     rows = near_duplicates(table(spark, sf_dir, "documents"), size=2)

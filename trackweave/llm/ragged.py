@@ -58,6 +58,7 @@ class Words:
         inside = np.empty(len(raw) + 1, bool)
         inside[:-1] = ~separator[raw]
         inside[-1] = False
+        self.inside = inside[:-1]
         change = np.empty(len(raw) + 1, bool)
         change[0] = inside[0]
         np.not_equal(inside[1:], inside[:-1], out=change[1:])
@@ -82,16 +83,13 @@ class Words:
         if not len(self):
             return np.zeros(0, U)
         lengths = self.ends - self.starts
-        at = np.arange(len(self.data), dtype=np.int64)
-        word = np.zeros(len(self.data), np.int64)
-        word[self.starts] = 1
-        word = np.cumsum(word) - 1
-        place = at - self.starts[np.maximum(word, 0)]
-        inside = (word >= 0) & (place < lengths[np.maximum(word, 0)])
-        table = powers(int(lengths.max()))
-        terms = _BYTE[self.data] * table[np.where(inside, place, 0)]
-        terms[~inside] = 0
-        return mix(np.add.reduceat(terms, self.starts) + lengths.astype(U) * _STEP)
+        begin = np.cumsum(lengths) - lengths
+        letters = self.data[self.inside]  # without separators, so words lie side by side
+        place = np.arange(len(letters), dtype=np.int32)
+        place -= np.repeat(begin.astype(np.int32), lengths)
+        terms = _BYTE[letters]
+        terms *= powers(int(lengths.max()))[place]
+        return mix(np.add.reduceat(terms, begin) + lengths.astype(U) * _STEP)
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -316,6 +316,11 @@ def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), "text").filter(remainder(F.col("id"), 3) != 1).join(labels, "id")
 
 
+def reject(df: DataFrame, weights: bytes, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of df that score below the threshold, with their columns as they were."""
+    return score(df, weights, text, "__toxicity").filter(F.col("__toxicity") < threshold).drop("__toxicity")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: every document scored; labels of two thirds of the ids are used."""
     docs = table(spark, sf_dir, "documents")
