@@ -283,7 +283,8 @@ def joined(spans: Column) -> Column:
 
 def digests(found: DataFrame, spans: str = "pii_spans", key: str = "doc_id") -> DataFrame:
     base = F.filter(F.col(spans), lambda s: s["base"])
-    counts = [F.size(F.filter(F.col(spans), lambda s, k=k: s["base"] & (s["kind"] == k))).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    count = lambda kind: F.size(F.filter(F.col(spans), lambda s: s["base"] & (s["kind"] == kind))).cast("bigint")
+    counts = [count(kind).alias(f"n_{kind}") for kind in KINDS]
     return found.select(key, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans"))
 
 

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackweave.llm import byte_bpe, decontamination, lm_scoring, minhash, pii, quality_rules, token_counts, token_store, toxicity
+from trackweave.llm import byte_bpe, decontamination, licenses, lm_scoring, minhash, pii, quality_rules, token_counts, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm_scoring.query,
     "op2_quality_rules": quality_rules.query,
     "op3_near_dedup": minhash.query,
+    "op4_licenses": licenses.query,
     "op5_decontamination": decontamination.query,
     "op6_toxicity": toxicity.query,
     "op7_pii": pii.query,
@@ -22,4 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.oracle(),
+    "op4_licenses": licenses.oracle(),
 }
