@@ -145,8 +145,7 @@ class Encoder:
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        split = list(map(pretokens.pieces, texts))
-        self.known.fill(split)
+        split = self.known.split(texts)
         plain, spaced = self.known.plain.__getitem__, self.known.spaced.__getitem__
         return [b"".join([*map(plain, p), *map(spaced, s)]) for p, s in split]
 

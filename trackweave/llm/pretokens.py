@@ -7,25 +7,12 @@ split and merged by itself, and a bounded cache of pieces serves most of a corpu
 
 from __future__ import annotations
 
-import re
-
 import public_tokenizers
 import regex
 
 PATTERN = regex.compile(public_tokenizers.PATTERN)
-#: A space next to other white space: there the pattern looks over the border.
-_UNSAFE = re.compile(r" \s|\s ")
 #: Pieces kept by a worker's cache before it starts anew.
-CACHE_ENTRIES = 350_000
-
-
-def pieces(text: str) -> tuple[list[str], list[str]]:
-    """(plain, spaced): the text is the plain strings followed by " " + x for each x of spaced,
-    and PATTERN can split these one by one."""
-    if _UNSAFE.search(text):
-        return PATTERN.findall(text), []
-    first, *rest = text.split(" ")
-    return ([first] if first else []), rest
+CACHE_ENTRIES = 600_000
 
 
 class Memo:
@@ -34,17 +21,31 @@ class Memo:
     def __init__(self, make, entries: int = CACHE_ENTRIES):
         self.make, self.entries, self.plain, self.spaced = make, entries, {}, {}
 
-    def fill(self, split: list[tuple[list[str], list[str]]]) -> None:
-        """After this, both dictionaries hold every piece of these texts."""
+    def split(self, texts: list[str]) -> list[tuple[list[str], list[str]]]:
+        """(plain, spaced) of each text: it is the plain strings followed by " " + x for each x of
+        spaced, and PATTERN can split these one by one. After this, both dictionaries hold all of
+        them. A text with a space next to other white space, over which the pattern looks, is
+        split by the pattern as a whole.
+        """
         if len(self.plain) + len(self.spaced) > self.entries:
             self.plain, self.spaced = {}, {}
-        plain = set().union(*(p for p, _ in split)).difference(self.plain)
-        spaced = set().union(*(s for _, s in split)).difference(self.spaced)
+        parts = [t.split(" ") for t in texts]
+        first, rest = [p[0] for p in parts], [p[1:] for p in parts]
+        spaced = set().union(*rest).difference(self.spaced)
+        bad = {x for x in (*spaced, *first) if not x or x[0].isspace() or x[-1].isspace()}
+        out = [([f] if f else [], r) for f, r in zip(first, rest, strict=True)]
+        if bad:
+            for i, p in enumerate(parts):
+                if not bad.isdisjoint(p):
+                    out[i] = (PATTERN.findall(texts[i]), [])
+            spaced -= bad
+        plain = set().union(*(p for p, _ in out)).difference(self.plain)
         if plain or spaced:
             names = [*plain, *(" " + x for x in spaced)]
             values = self.make(names)
             self.plain.update(zip(plain, values, strict=False))
             self.spaced.update(zip(spaced, values[len(plain) :], strict=True))
+        return out
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -127,18 +127,23 @@ class Counter:
         return parts, found
 
     def count(self, texts: list[str]) -> list[int]:
-        split, whose, found = [], [], [0] * len(texts)
+        parts, whose, found = [], [], [0] * len(texts)
         for i, text in enumerate(texts):
-            parts, found[i] = self.plain_parts(text)
-            split += map(pretokens.pieces, parts)
-            whose += [i] * len(parts)
-        self.memo.fill(split)
+            own, found[i] = self.plain_parts(text)
+            parts += own
+            whose += [i] * len(own)
+        split = self.memo.split(parts)
         plain, spaced = self.memo.plain.__getitem__, self.memo.spaced.__getitem__
         for i, (p, s) in zip(whose, split, strict=True):
             found[i] += sum(map(plain, p)) + sum(map(spaced, s))
         return found
 
 
+@lru_cache(maxsize=2)
+def _counter(path: str) -> Counter:
+    return Counter(path)
+
+
 def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_tokens) of every row.
 
@@ -149,7 +154,7 @@ def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", key: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer)
+        counter = _counter(tokenizer)
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 texts = batch.column(1).slice(a, b - a)

@@ -30,6 +30,8 @@ from trackweave.llm.common import new_path, slices, table
 MAGIC = b"TWDAC1\0\0"
 BLOCK = 512
 SEGMENT_IDS = 1 << 20
+#: New words that the library gets in one string.
+LINE = 512
 SCHEMA = "part int, seq int, first_id bigint, last_id bigint, n_docs bigint, n_ids bigint, before bigint, payload binary"
 
 
@@ -101,30 +103,48 @@ class Segment:
 
 
 class LibraryIds:
-    """Ids from the tokenizers library; it sees each distinct piece once while that is cached."""
+    """Ids from the tokenizers library, which sees each distinct word once while that is cached.
+
+    The library's own splitting takes most of its time, so words are split here by the same
+    pattern, written in the vocabulary's byte alphabet, and given to it in lines.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.lines = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.lines.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.letters = {b: c for c, b in pretokens.byte_alphabet().items()} | {0xFF: " "}  # no byte of UTF-8
         self.memo = pretokens.Memo(self.coded)
+        self.words: dict[str, bytes] = {}
 
     def coded(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), 8192):
-            out += [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(texts[i : i + 8192], add_special_tokens=False)]
-        return out
+        split = [pretokens.PATTERN.findall(t) for t in texts]
+        if len(self.words) > pretokens.CACHE_ENTRIES:
+            self.words = {}
+        new = list(set().union(*split).difference(self.words))
+        for a in range(0, len(new), LINE):
+            own = new[a : a + LINE]
+            line = b"\xff".join([w.encode() for w in own]).decode("latin-1").translate(self.letters)
+            found = self.lines.encode(line, add_special_tokens=False)
+            ids, word = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids)
+            ends = (4 * np.searchsorted(word, np.arange(len(own)), side="right")).tolist()
+            self.words.update(zip(own, [ids[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
+
+    def whole(self, text: str) -> bytes:
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text. Texts with special strings go whole."""
         whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        split = [([], []) if i in whole else pretokens.pieces(t) for i, t in enumerate(texts)]
-        self.memo.fill(split)
+        split = self.memo.split(["" if i in whole else t for i, t in enumerate(texts)])
         plain, spaced = self.memo.plain.__getitem__, self.memo.spaced.__getitem__
         out = [b"".join([*map(plain, p), *map(spaced, s)]) for p, s in split]
         for i in whole:
-            out[i] = self.coded([texts[i]])[0]
+            out[i] = self.whole(texts[i])
         return out
 
 
