@@ -116,6 +116,9 @@ class LibraryIds:
         self.lines.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = {b: c for c, b in pretokens.byte_alphabet().items()} | {0xFF: " "}  # no byte of UTF-8
+        self.lengths = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, i in self.library.get_vocab().items():
+            self.lengths[i] = len(token)  # a letter a byte
         self.memo = pretokens.Memo(self.coded)
         self.words: dict[str, bytes] = {}
 
@@ -126,11 +129,13 @@ class LibraryIds:
         new = list(set().union(*split).difference(self.words))
         for a in range(0, len(new), LINE):
             own = new[a : a + LINE]
-            line = b"\xff".join([w.encode() for w in own]).decode("latin-1").translate(self.letters)
-            found = self.lines.encode(line, add_special_tokens=False)
-            ids, word = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids)
-            ends = (4 * np.searchsorted(word, np.arange(len(own)), side="right")).tolist()
-            self.words.update(zip(own, [ids[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+            data = [w.encode() for w in own]
+            line = b"\xff".join(data).decode("latin-1").translate(self.letters)
+            ids = np.array(self.lines.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+            # the bytes that tokens stand for say which word each one ends in
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))) + 1
+            coded, ends = ids.tobytes(), (4 * ends).tolist()
+            self.words.update(zip(own, [coded[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
         return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
 
     def whole(self, text: str) -> bytes:
