@@ -92,19 +92,31 @@ class Words:
         return mix(np.add.reduceat(terms, begin) + lengths.astype(U) * _STEP)
 
 
+#: Powers of an odd base and of its inverse (mod 2**64), as many as were needed so far.
+_SHINGLE = [np.ones(1, U), np.ones(1, U)]
+_SHINGLE_BASE = 0x9DDFEA08EB382D69
+
+
+def _shingle_powers(n: int) -> list[np.ndarray]:
+    if len(_SHINGLE[0]) < n:
+        for i, base in enumerate((_SHINGLE_BASE, pow(_SHINGLE_BASE, -1, 1 << 64))):
+            steps = np.full(2 * n, base, U)
+            steps[0] = 1
+            _SHINGLE[i] = np.cumprod(steps)
+    return _SHINGLE
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of size words, and the first run of each row (rows' ends last).
 
-    A row with fewer words, but any, gives its whole sequence as one run.
+    A row with fewer words, but any, gives its whole sequence as one run. A run's hash is a
+    polynomial in a fixed base over its words' hashes, from differences of prefix sums.
     """
     counts = np.diff(first)
     runs = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     begin = np.concatenate(([0], np.cumsum(runs)))
-    row = np.repeat(np.arange(len(counts)), runs)
-    at = first[:-1][row] + np.arange(begin[-1]) - begin[row]
-    out = np.full(begin[-1], 0, U)
-    for k in range(size):
-        there = k < counts[row]
-        factor = mix(np.array([k + 1], U) * _STEP)[0] | U(1)
-        out += np.where(there, hashes[np.where(there, at + k, 0)] if len(hashes) else U(0), U(0)) * factor
-    return mix(out + np.minimum(counts[row], size).astype(U)), begin
+    at = np.repeat(first[:-1] - begin[:-1], runs) + np.arange(begin[-1])
+    length = np.repeat(np.minimum(counts, size), runs)
+    power, inverse = _shingle_powers(len(hashes) + 1)
+    sums = np.concatenate((np.zeros(1, U), np.cumsum(hashes * power[: len(hashes)])))
+    return mix((sums[at + length] - sums[at]) * inverse[at] + length.astype(U)), begin

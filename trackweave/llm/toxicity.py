@@ -1,10 +1,15 @@
 """Toxicity by a bidirectional gated recurrent network (operator 6).
 
-A word's input joins a word vector (hashed) and a character vector (the mean over its hashed
-character n-grams). A forward and a backward layer run over windows of WINDOW words, each
-overlapping the next by half; attention pools a window, and a document scores as its most toxic
-window. A document's label says that some window is toxic, so training picks, in each epoch, the
-window of each document that scores highest so far, and learns from these.
+A word's input joins three vectors: of the word (hashed), of its character n-grams and of its
+beginnings (means over hashed units). A forward and a backward layer run over windows of WINDOW
+words, each overlapping the next by half; attention pools a window into a logit. A document's score
+is a logistic function of its highest window and of how many windows are likely toxic, as some
+texts hold one plain insult and others several doubtful words.
+
+A label says that some window is toxic, so training picks, in each epoch, the windows of each
+document that score highest so far, and learns from these. Units seen in fewer than LEAST training
+documents have no vector, so that rare words are judged by their characters. The document function
+is fitted on a part of the training documents that the network didn't learn from.
 
 Fitting takes a bounded sample of labelled rows (`SAMPLE` documents) in one task; scoring covers
 every window of every text.
@@ -14,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,11 +35,19 @@ from trackweave.llm.ragged import U, mix
 WINDOW, STEP = 32, 16
 SAMPLE = 6000
 SAMPLE_WORDS = 1500
-HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
-BUCKETS = 1 << 14
-GRAMS = (3, 4, 5)
+HIDDEN, UNIT_DIM = 8, 8
+#: Units are known by SLOT_BITS bits of their hash; only the slots of frequent units have vectors.
+SLOT_BITS = 20
+#: Lengths in bytes of n-grams and, with the edge in front, of beginnings.
+GRAMS, PREFIXES = (3, 4, 5), (4, 5, 6, 7, 8, 9, 10)
+TABLES = ("word", "char", "pre")
+LEAST = 3
+#: One in so many training documents is kept for the document function.
+APART = 4
+#: Passes over the sample: so many at least, more for a small one until TAUGHT documents have taught.
+EPOCHS, MOST_EPOCHS, TAUGHT = 4, 40, 12_000
 #: Distinct words whose projected inputs a worker keeps.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -41,59 +55,92 @@ def clean(piece: str) -> str:
     return _EDGE.sub("", piece)
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word bucket of each word; buckets of all n-grams, and where each word's begin."""
+Units = tuple[np.ndarray, np.ndarray]
+
+
+def features(words: list[str]) -> dict[str, Units]:
+    """By table: the slots of all words' units, and where each word's begin."""
     data = [b"^" + w.encode() + b"$" for w in words]
-    lengths = np.array([len(x) for x in data])
+    lengths = np.array([len(x) for x in data], np.int64)
     flat = np.frombuffer(b"".join(data), np.uint8).astype(U)
     start = np.concatenate(([0], np.cumsum(lengths)))
     row = np.repeat(np.arange(len(words)), lengths)
     left = start[1:][row] - np.arange(len(flat))
-    grams, owner = [], []
+    units: dict[str, list] = {"char": [], "pre": []}
     h = np.zeros(len(flat), U)
-    for k in range(max(GRAMS)):
+    for k in range(1, max(*GRAMS, *PREFIXES) + 1):
         moved = np.zeros(len(flat), U)
-        moved[: max(0, len(flat) - k)] = flat[k:]
-        h = mix(h + moved + U(k + 1))
-        if k + 1 in GRAMS:
-            whole = left > k
-            grams.append((h[whole] >> U(20)) % U(BUCKETS))
-            owner.append(row[whole])
-    grams, owner = np.concatenate(grams).astype(np.int64), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    counts = np.bincount(owner, minlength=len(words))
+        moved[: max(0, len(flat) - k + 1)] = flat[k - 1 :]
+        h = mix(h + moved + U(k))
+        bucket = (h >> U(64 - SLOT_BITS)).astype(np.int64)
+        if k in GRAMS:
+            whole = left >= k
+            units["char"].append((bucket[whole], row[whole]))
+        if k in PREFIXES:
+            whole = lengths >= k
+            units["pre"].append((bucket[start[:-1][whole]], np.flatnonzero(whole)))
     total = np.zeros(len(words), U)
     np.add.at(total, row, mix(flat + (np.arange(len(flat)) - start[row]).astype(U) * U(0x9E3779B97F4A7C15)))
-    return (mix(total) % U(BUCKETS)).astype(np.int64), grams[order], np.concatenate(([0], np.cumsum(counts)))
+    out = {"word": ((mix(total) >> U(64 - SLOT_BITS)).astype(np.int64), np.arange(len(words) + 1))}
+    for name, parts in units.items():
+        owner = np.concatenate([o for _, o in parts])
+        order = np.argsort(owner, kind="stable")
+        counts = np.bincount(owner, minlength=len(words))
+        out[name] = (np.concatenate([u for u, _ in parts])[order], np.concatenate(([0], np.cumsum(counts))))
+    return out
 
 
 def mean_rows(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Means over runs of rows (every word has at least one n-gram, as it has its edges)."""
-    if not len(values):
-        return np.zeros((len(begin) - 1, values.shape[1]), F32)
-    sums = np.add.reduceat(values, np.minimum(begin[:-1], max(len(values) - 1, 0)), axis=0)
+    """Means over runs of rows, zero for empty runs."""
     counts = np.diff(begin)
-    return np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], 0).astype(F32)
+    out = np.zeros((len(counts), values.shape[1]), F32)
+    full = counts > 0
+    if full.any():
+        out[full] = np.add.reduceat(values, begin[:-1][full], axis=0) / counts[full][:, None]
+    return out
+
+
+def picked(units: Units, rows: np.ndarray) -> Units:
+    """The units of some words."""
+    slots, begin = units
+    spans = np.diff(begin)[rows]
+    at = np.repeat(begin[:-1][rows], spans) + np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
+    return slots[at], np.concatenate(([0], np.cumsum(spans)))
 
 
 class Network:
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = params
+        self.row = {}
+        for name in TABLES:  # row 0 is that of all other slots, and stays zero
+            self.row[name] = np.zeros(1 << SLOT_BITS, np.int32)
+            self.row[name][params[f"{name}_slots"]] = np.arange(1, len(params[name]))
 
     @staticmethod
-    def fresh(seed: int = 7) -> Network:
+    def fresh(slots: dict[str, np.ndarray], seed: int = 7) -> Network:
         rng = np.random.default_rng(seed)
         draw = lambda *shape, s=0.1: (rng.standard_normal(shape) * s).astype(F32)
-        d, h = WORD_DIM + CHAR_DIM, HIDDEN
-        p = {"word": draw(BUCKETS, WORD_DIM), "char": draw(BUCKETS, CHAR_DIM)}
+        d, h = len(TABLES) * UNIT_DIM, HIDDEN
+        p = {name: draw(len(slots[name]) + 1, UNIT_DIM) for name in TABLES} | {f"{name}_slots": slots[name] for name in TABLES}
         for side in "fb":
             p[f"w{side}"], p[f"u{side}"], p[f"b{side}"] = draw(d, 3 * h, s=0.3), draw(h, 3 * h, s=0.3), np.zeros(3 * h, F32)
-        p |= {"att": draw(2 * h, h, s=0.3), "att_v": draw(h, s=0.3), "out": draw(2 * h, s=0.3), "bias": np.zeros(1, F32)}
+        p |= {"att": draw(2 * h, h, s=0.3), "att_v": draw(h, s=0.3), "out": draw(2 * h, s=0.3), "bias": np.zeros(1, F32), "head": np.array([-1, 1, 0], np.float64)}
         return Network(p)
 
-    def vectors(self, words: list[str]) -> np.ndarray:
-        bucket, grams, begin = features(words)
-        return np.concatenate((self.p["word"][bucket], mean_rows(self.p["char"][grams], begin)), 1)
+    def vectors(self, units: dict[str, Units]) -> np.ndarray:
+        return np.concatenate([mean_rows(self.p[name][self.row[name][units[name][0]]], units[name][1]) for name in TABLES], 1)
+
+    def documents(self, projected: np.ndarray, ids: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+        """(n, 2): each document's highest window logit, and the log of its expected toxic windows."""
+        logit = self.logits(projected, ids).astype(np.float64)
+        best = np.full(n, -np.inf)
+        np.maximum.at(best, doc, logit)
+        likely = np.bincount(doc, 1 / (1 + np.exp(-np.clip(logit, -50, 50))), n)
+        return np.stack((np.clip(best, -20, 20), np.log(likely + 1e-4)), 1)
+
+    def probability(self, seen: np.ndarray) -> np.ndarray:
+        head = self.p["head"]
+        return 1 / (1 + np.exp(-np.clip(head[0] + seen @ head[1:], -50, 50)))
 
     def pooled(self, hf: np.ndarray, hb: np.ndarray, alive: np.ndarray):
         both = np.concatenate((hf, hb), 2)
@@ -171,78 +218,103 @@ def window_ids(flat: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (np.where(there, flat[at], 0) if len(flat) else np.zeros(at.shape, np.int64)), doc
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 7) -> dict[str, np.ndarray]:
-    """Train on labelled texts and set the bias so that 0.7 separates the training documents."""
-    net, rng = Network.fresh(seed), np.random.default_rng(seed)
+def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
+    """Train the network on most of the labelled texts and the document function on the others."""
+    rng = np.random.default_rng(seed)
     docs = [[clean(x) for x in t.lower().split()[:SAMPLE_WORDS]] for t in texts]
     names = {"": 0}
     flat = np.array([names.setdefault(w, len(names)) for d in docs for w in d], np.int64)
     begin = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(np.int64)
-    words = list(names)
-    bucket, grams, g_begin = features(words)
-    g_row = np.repeat(np.arange(len(words)), np.diff(g_begin))
-    # start from what single words and n-grams say: smoothed log odds over documents
+    units = features(list(names))
+    apart = np.zeros(len(docs), bool)
+    if len(docs) >= 10 * APART:
+        apart[rng.permutation(len(docs))[: len(docs) // APART]] = True
+    # start from what single units say: smoothed log odds over documents
     doc_of = np.repeat(np.arange(len(docs)), np.diff(begin))
-    for name, unit, row in (("word", bucket, np.arange(len(words))), ("char", grams, g_row)):
-        seen = np.unique(doc_of * np.int64(len(words)) + flat)
-        d, w = seen // len(words), seen % len(words)
-        spread = np.searchsorted(row, w, side="right") - (lo := np.searchsorted(row, w))
-        at = np.repeat(lo, spread) + np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
-        each = np.unique(np.repeat(d, spread) * np.int64(BUCKETS) + unit[at])
-        pos = np.bincount(each % BUCKETS, labels[each // BUCKETS], BUCKETS)
-        neg = np.bincount(each % BUCKETS, 1 - labels[each // BUCKETS], BUCKETS)
-        odds = np.log((pos + 0.5) / (labels.sum() + 1)) - np.log((neg + 0.5) / ((1 - labels).sum() + 1))
-        net.p[name][:, 0] = np.where(pos + neg > 1, np.clip(odds, -3, 6), 0) / 3
+    seen = np.unique((doc_of * np.int64(len(names)) + flat)[~apart[doc_of]])
+    d, w = seen // len(names), seen % len(names)
+    y = labels[~apart]
+    slots, odds = {}, {}
+    for name in TABLES:
+        own, own_begin = picked(units[name], w)
+        each = np.unique(np.repeat(d, np.diff(own_begin)) << SLOT_BITS | own)
+        slot, place = np.unique(each & (1 << SLOT_BITS) - 1, return_inverse=True)
+        pos = np.bincount(place, labels[each >> SLOT_BITS], len(slot))
+        total = np.bincount(place, minlength=len(slot))
+        ratio = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((total - pos + 0.5) / ((1 - y).sum() + 1))
+        slots[name], odds[name] = slot[total >= LEAST], ratio[total >= LEAST]
+    net = Network.fresh(slots, seed)
+    for name in TABLES:
+        net.p[name][0] = 0
+        net.p[name][1:, 0] = np.clip(odds[name], -3, 6) / 3
     ids, doc = window_ids(flat, begin)
-    adam = gru.Adam(net.p, 0.01)
-    pos_rate = max(labels.mean(), 1e-3)
+    adam = gru.Adam({k: v for k, v in net.p.items() if k != "head" and not k.endswith("_slots")}, 0.01)
+    usable = ~apart[doc]
+    epochs = min(MOST_EPOCHS, max(EPOCHS, TAUGHT // max(1, len(docs))))
     for epoch in range(epochs):
-        vectors = np.concatenate((net.p["word"][bucket], mean_rows(net.p["char"][grams], g_begin)), 1)
-        if epoch == 0:  # the highest word decides which window teaches first
-            level = (vectors[:, 0] + vectors[:, WORD_DIM])[ids].max(0)
+        vectors = net.vectors(units)
+        if epoch == 0:  # the highest unit decides which window teaches first
+            level = vectors[:, ::UNIT_DIM].max(1)[ids].max(0)
         else:
             level = net.logits(net.project(vectors), ids)
-        order = np.lexsort((level, doc))
-        top = order[np.flatnonzero(np.concatenate((np.diff(doc[order]) > 0, [True])))]
-        clean_windows = np.flatnonzero(labels[doc] == 0)
-        extra = rng.choice(clean_windows, min(len(docs), len(clean_windows)), replace=False) if len(clean_windows) else np.zeros(0, np.int64)
+        order = np.lexsort((-level, doc))
+        rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+        top = order[(rank < 2) & usable[order]]
+        others = np.flatnonzero((labels[doc] == 0) & usable)
+        extra = rng.choice(others, min(len(docs), len(others)), replace=False) if len(others) else np.zeros(0, np.int64)
         # rare labels are repeated, so that a batch holds some of each
-        again = np.repeat(top[labels[doc[top]] == 1], min(4, max(1, int(0.3 / pos_rate))) - 1)
+        again = np.repeat(top[labels[doc[top]] == 1], min(4, max(1, int(0.3 / max(labels.mean(), 1e-3)))) - 1)
         chosen = rng.permutation(np.concatenate((top, extra, again)))
-        for a in range(0, len(chosen), 64):
-            own = chosen[a : a + 64]
-            used, inverse = np.unique(ids[:, own], return_inverse=True)
-            inverse = inverse.reshape(WINDOW, len(own))
-            shift = 0 if used[0] == 0 else 1  # row 0 of the small table stands for no word
-            rows = used if not shift else np.concatenate(([0], used))
-            starts, spans = g_begin[rows], np.diff(g_begin)[rows]
-            g_at = np.repeat(starts, spans) + np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
-            g_begin_own = np.concatenate(([0], np.cumsum(spans)))
-            v = np.concatenate((net.p["word"][bucket[rows]], mean_rows(net.p["char"][grams[g_at]], g_begin_own)), 1)
-            g, d_x = net.gradients(v, inverse + shift, labels[doc[own]].astype(F32))
+        for a in range(0, len(chosen), 128):
+            own = chosen[a : a + 128]
+            rows, inverse = np.unique(np.concatenate(([0], ids[:, own].ravel())), return_inverse=True)
+            inverse = inverse[1:].reshape(WINDOW, len(own))  # row 0 stands for no word
+            small = {name: picked(units[name], rows) for name in TABLES}
+            v = net.vectors(small)
+            g, d_x = net.gradients(v, inverse, labels[doc[own]].astype(F32))
             d_v = np.zeros_like(v)
-            np.add.at(d_v, (inverse + shift).ravel(), d_x.reshape(-1, v.shape[1]))
-            g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-            np.add.at(g["word"], bucket[rows], d_v[:, :WORD_DIM])
-            np.add.at(g["char"], grams[g_at], np.repeat(d_v[:, WORD_DIM:] / np.maximum(spans, 1)[:, None], spans, axis=0))
+            np.add.at(d_v, inverse.ravel(), d_x.reshape(-1, v.shape[1]))
+            for i, name in enumerate(TABLES):
+                row, b = net.row[name][small[name][0]], small[name][1]
+                spans = np.diff(b)
+                each = np.repeat(d_v[:, i * UNIT_DIM : (i + 1) * UNIT_DIM] / np.maximum(spans, 1)[:, None], spans, axis=0)
+                g[name] = np.stack([np.bincount(row, each[:, j], len(net.p[name])) for j in range(UNIT_DIM)], 1).astype(F32)
+                g[name][0] = 0
             adam.step(g)
-        adam.rate *= 0.75
-    vectors = np.concatenate((net.p["word"][bucket], mean_rows(net.p["char"][grams], g_begin)), 1)
-    best = np.full(len(docs), -np.inf)
-    np.maximum.at(best, doc, net.logits(net.project(vectors), ids))
-    net.p["bias"] += F32(np.log(0.7 / 0.3) - separating(best, labels))
+        adam.rate *= 0.1 ** (1 / epochs)
+    found = net.documents(net.project(net.vectors(units)), ids, doc, len(docs))
+    net.p["head"] = logistic(found[apart] if apart.any() else found, labels[apart] if apart.any() else labels)
     return net.p
 
 
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50) -> np.ndarray:
+    """Weights (first the constant) of a slightly ridged logistic regression, by damped Newton steps.
+
+    The constant is then moved so that 0.7 falls into the widest range of thresholds with the
+    fewest errors.
+    """
+    x = np.concatenate((np.ones((len(x), 1)), x), 1)
+    w, hold = np.array([-1.0, 1.0, 0.0]), np.array([1e-3, ridge, ridge])
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + (hold * w * w).sum() / 2
+    for _ in range(steps if len(x) else 0):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(hold), x.T @ (p - y) + hold * w)
+        share = 1.0
+        while share > 1e-6 and loss(w - share * move) > loss(w):
+            share /= 2
+        w = w - share * move
+    if len(y) and y.min() < y.max():
+        w[0] += np.log(0.7 / 0.3) - separating(x @ w, y)
+    return w
+
+
 def separating(scores: np.ndarray, labels: np.ndarray) -> float:
     """The middle of the widest range of thresholds with the fewest errors."""
-    if labels.min() == labels.max():
-        return float(scores.max() + 1 if labels[0] == 0 else scores.min() - 1)
-    order = np.argsort(scores)
+    order = np.argsort(scores, kind="stable")
     s, y = scores[order], labels[order]
     errors = np.concatenate(([0], np.cumsum(y))) + np.concatenate(((1 - y)[::-1].cumsum()[::-1], [0]))
     edges = np.concatenate(([s[0] - 1], (s[1:] + s[:-1]) / 2, [s[-1] + 1]))
-    gaps = np.concatenate(([1], np.diff(s), [1]))
+    gaps = np.concatenate(([1e-9], np.diff(s), [1e-9]))
     best = np.flatnonzero(errors == errors.min())
     return float(edges[best[np.argmax(gaps[best])]])
 
@@ -256,7 +328,7 @@ class Scorer:
 
     def reset(self) -> None:
         self.row: dict[str, int] = {}
-        self.table = [self.net.project(self.net.vectors([""]))]
+        self.table = self.net.project(self.net.vectors(features([""])))
         self.size = 1
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -265,14 +337,12 @@ class Scorer:
             self.reset()
         if new := list(set().union(*split).difference(self.row)) if split else []:
             self.row.update(zip(new, range(self.size, self.size + len(new)), strict=True))
-            self.table = [np.concatenate((*self.table, self.net.project(self.net.vectors([clean(w) for w in new]))))]
+            self.table = np.concatenate((self.table, self.net.project(self.net.vectors(features([clean(w) for w in new])))))
             self.size += len(new)
         begin = np.concatenate(([0], np.cumsum([len(s) for s in split]))).astype(np.int64)
-        flat = np.fromiter((r for s in split for r in map(self.row.__getitem__, s)), np.int64, begin[-1])
+        flat = np.fromiter(map(self.row.__getitem__, chain.from_iterable(split)), np.int64, begin[-1])
         ids, doc = window_ids(flat, begin)
-        best = np.full(len(texts), -np.inf)
-        np.maximum.at(best, doc, self.net.logits(self.table[0], ids))
-        return 1 / (1 + np.exp(-np.clip(best.astype(np.float64), -50, 50)))
+        return self.net.probability(self.net.documents(self.table, ids, doc, len(texts)))
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> bytes:
@@ -289,7 +359,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> bytes:
         return pd.DataFrame({"weights": [gru.pack(fit(rows["text"].tolist(), rows["label"].to_numpy(np.float64)))]})
 
     found = drawn.groupBy(F.lit(1).alias("one")).applyInPandas(run, "weights binary").collect()
-    return bytes(found[0].weights) if found else gru.pack(Network.fresh().p | {"bias": np.full(1, -5, F32)})
+    return bytes(found[0].weights) if found else gru.pack(Network.fresh({n: np.zeros(0, np.int64) for n in TABLES}).p | {"head": np.array([-5.0, 1.0, 0.0])})
 
 
 def score(df: DataFrame, weights: bytes, text: str = "text", out: str = "score") -> DataFrame:
