@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7; the network learns from labelled documents outside the held-out third."""
-    return toxicity.reject(docs, toxicity.train(toxicity.labelled(spark, docs, sf_dir)))
+    return toxicity.reject(docs, toxicity.trained(spark, docs, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

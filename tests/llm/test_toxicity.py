@@ -54,7 +54,8 @@ def test_held_out_accuracy(spark):
 
 def test_odd_rows(spark):
     labelled = spark.createDataFrame([(i, f"{'you are pathetic trash' if i % 3 == 0 else 'the quiet river runs'} w{i % 7} x{i % 5}", int(i % 3 == 0)) for i in range(120)] + [(900, None, 0), (None, "x", 1), (901, "y", None)], "id bigint, text string, label int")
-    weights = toxicity.train(labelled)
+    docs, labels = labelled.select("id", "text"), labelled.select("id", "label")
+    weights = toxicity.train(docs, labels)
     df = frame(spark, [*TEXTS, (50, "so pathetic"), (50, "so pathetic")])
     rows = toxicity.score(df, weights).collect()
     assert len(rows) == df.count() and all(0 <= r.score <= 1 for r in rows)
@@ -66,7 +67,7 @@ def test_odd_rows(spark):
     kept = toxicity.reject(df, weights)
     assert kept.columns == df.columns and kept.count() >= len(TEXTS) - 2
     assert toxicity.score(frame(spark, []), weights).collect() == []
-    nothing = toxicity.train(labelled.limit(0))
+    nothing = toxicity.train(docs, labels.limit(0))
     assert all(r.score < 0.7 for r in toxicity.score(df, nothing).collect())
 
 

@@ -33,13 +33,15 @@ from trackweave.llm.gru import F32
 from trackweave.llm.ragged import U, mix
 
 WINDOW, STEP = 32, 16
-SAMPLE = 6000
-SAMPLE_WORDS = 1500
+#: Bounds of what the network learns from: labelled documents, a third of them toxic, whole, and their characters.
+SAMPLE, SAMPLE_CHARS = 4000, 12_000_000
 HIDDEN, UNIT_DIM = 8, 8
 #: Units are known by SLOT_BITS bits of their hash; only the slots of frequent units have vectors.
 SLOT_BITS = 20
 #: Lengths in bytes of n-grams and, with the edge in front, of beginnings.
 GRAMS, PREFIXES = (3, 4, 5), (4, 5, 6, 7, 8, 9, 10)
+#: Words whose units are worked on at a time.
+CHUNK_WORDS = 20_000
 TABLES = ("word", "char", "pre")
 LEAST = 3
 #: One in so many training documents is kept for the document function.
@@ -60,6 +62,12 @@ Units = tuple[np.ndarray, np.ndarray]
 
 def features(words: list[str]) -> dict[str, Units]:
     """By table: the slots of all words' units, and where each word's begin."""
+    parts = [_features(words[a : a + CHUNK_WORDS]) for a in range(0, max(1, len(words)), CHUNK_WORDS)]
+    counts = {name: np.concatenate([np.diff(p[name][1]) for p in parts]) for name in TABLES}
+    return {name: (np.concatenate([p[name][0] for p in parts]), np.concatenate(([0], np.cumsum(counts[name])))) for name in TABLES}
+
+
+def _features(words: list[str]) -> dict[str, Units]:
     data = [b"^" + w.encode() + b"$" for w in words]
     lengths = np.array([len(x) for x in data], np.int64)
     flat = np.frombuffer(b"".join(data), np.uint8).astype(U)
@@ -72,7 +80,7 @@ def features(words: list[str]) -> dict[str, Units]:
         moved = np.zeros(len(flat), U)
         moved[: max(0, len(flat) - k + 1)] = flat[k - 1 :]
         h = mix(h + moved + U(k))
-        bucket = (h >> U(64 - SLOT_BITS)).astype(np.int64)
+        bucket = (h >> U(64 - SLOT_BITS)).astype(np.int32)
         if k in GRAMS:
             whole = left >= k
             units["char"].append((bucket[whole], row[whole]))
@@ -81,7 +89,7 @@ def features(words: list[str]) -> dict[str, Units]:
             units["pre"].append((bucket[start[:-1][whole]], np.flatnonzero(whole)))
     total = np.zeros(len(words), U)
     np.add.at(total, row, mix(flat + (np.arange(len(flat)) - start[row]).astype(U) * U(0x9E3779B97F4A7C15)))
-    out = {"word": ((mix(total) >> U(64 - SLOT_BITS)).astype(np.int64), np.arange(len(words) + 1))}
+    out = {"word": ((mix(total) >> U(64 - SLOT_BITS)).astype(np.int32), np.arange(len(words) + 1))}
     for name, parts in units.items():
         owner = np.concatenate([o for _, o in parts])
         order = np.argsort(owner, kind="stable")
@@ -128,7 +136,13 @@ class Network:
         return Network(p)
 
     def vectors(self, units: dict[str, Units]) -> np.ndarray:
-        return np.concatenate([mean_rows(self.p[name][self.row[name][units[name][0]]], units[name][1]) for name in TABLES], 1)
+        out = np.empty((len(units["word"][1]) - 1, len(TABLES) * UNIT_DIM), F32)
+        for i, name in enumerate(TABLES):
+            slots, begin = units[name]
+            for a in range(0, len(out), CHUNK_WORDS):
+                b = begin[a : a + CHUNK_WORDS + 1]
+                out[a : a + CHUNK_WORDS, i * UNIT_DIM : (i + 1) * UNIT_DIM] = mean_rows(self.p[name][self.row[name][slots[b[0] : b[-1]]]], b - b[0])
+        return out
 
     def documents(self, projected: np.ndarray, ids: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         """(n, 2): each document's highest window logit, and the log of its expected toxic windows."""
@@ -215,7 +229,7 @@ def window_ids(flat: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndar
     place = first[None, :] + np.arange(WINDOW)[:, None]
     there = place < counts[doc]
     at = np.where(there, begin[doc] + place, 0)
-    return (np.where(there, flat[at], 0) if len(flat) else np.zeros(at.shape, np.int64)), doc
+    return (np.where(there, flat[at], 0).astype(np.int32) if len(flat) else np.zeros(at.shape, np.int32)), doc
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
@@ -225,7 +239,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> dict[str, np.nda
     blank = max(2, len(texts) // 50)
     texts = [*texts, *([""] * blank), *(f"\ue000{i} " * WINDOW for i in range(blank))]
     labels = np.concatenate((labels, np.zeros(2 * blank)))
-    docs = [[clean(x) for x in t.lower().split()[:SAMPLE_WORDS]] for t in texts]
+    docs = [[clean(x) for x in t.lower().split()] for t in texts]
     names = {"": 0}
     flat = np.array([names.setdefault(w, len(names)) for d in docs for w in d], np.int64)
     begin = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(np.int64)
@@ -239,14 +253,18 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> dict[str, np.nda
     d, w = seen // len(names), seen % len(names)
     y = labels[~apart]
     slots, odds = {}, {}
+    cuts = [*np.flatnonzero(np.diff(d // 50, prepend=-1)), len(d)]  # fifty documents at a time
     for name in TABLES:
-        own, own_begin = picked(units[name], w)
-        each = np.unique(np.repeat(d, np.diff(own_begin)) << SLOT_BITS | own)
-        slot, place = np.unique(each & (1 << SLOT_BITS) - 1, return_inverse=True)
-        pos = np.bincount(place, labels[each >> SLOT_BITS], len(slot))
-        total = np.bincount(place, minlength=len(slot))
+        pos, total = np.zeros(1 << SLOT_BITS), np.zeros(1 << SLOT_BITS)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own, own_begin = picked(units[name], w[a:b])
+            each = np.unique(np.repeat(d[a:b], np.diff(own_begin)) << SLOT_BITS | own)
+            pos += np.bincount(each & (1 << SLOT_BITS) - 1, labels[each >> SLOT_BITS], len(pos))
+            total += np.bincount(each & (1 << SLOT_BITS) - 1, minlength=len(pos))
+        slot = np.flatnonzero(total >= LEAST)
+        pos, total = pos[slot], total[slot]
         ratio = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((total - pos + 0.5) / ((1 - y).sum() + 1))
-        slots[name], odds[name] = slot[total >= LEAST], ratio[total >= LEAST]
+        slots[name], odds[name] = slot, ratio
     net = Network.fresh(slots, seed)
     for name in TABLES:
         net.p[name][0] = 0
@@ -349,20 +367,26 @@ class Scorer:
         return self.net.probability(self.net.documents(self.table, ids, doc, len(texts)))
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> bytes:
-    """Weights learnt from labelled(id, text, label); at most `sample` rows, a third toxic."""
-    known = labelled.filter("id IS NOT NULL AND label IS NOT NULL").select("id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    counts = dict(known.groupBy("label").count().collect())
-    want = {1: sample // 3, 0: sample - sample // 3}
-    share = F.when(F.col("label") == 1, F.lit(want[1] / max(1, counts.get(1, 0)))).otherwise(F.lit(want[0] / max(1, counts.get(0, 0))))
-    # a hash of the id picks rows, so that a repeated run learns the same
-    drawn = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).withColumn("text", F.substring("text", 1, 40_000))
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
+    """Weights learnt from docs(id, text) and labels(id, label); at most `sample` documents, a third toxic.
+
+    A hash of the id picks, so that a repeated run learns the same. Of several labels of an id the
+    highest counts; null ids and labels teach nothing. Without labelled documents every text gets
+    one low score.
+    """
+    known = labels.filter("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max(F.col("label").cast("int")).alias("label"))
+    order = [F.xxhash64("id"), F.col("id")]
+    toxic, other = (known.filter(F.col("label") == k).orderBy(*order).limit(n) for k, n in ((1, sample // 3), (0, sample - sample // 3)))
+    # at most `sample` rows of two numbers, so the documents stay where they are
+    drawn = docs.select("id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(toxic.union(other)), "id")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "text"]).head(2 * sample)
+        rows = rows.drop_duplicates("id").sample(frac=1, random_state=np.random.RandomState(0)) if len(rows) else rows
+        rows = rows[rows["text"].str.len().cumsum() <= SAMPLE_CHARS]
         return pd.DataFrame({"weights": [gru.pack(fit(rows["text"].tolist(), rows["label"].to_numpy(np.float64)))]})
 
-    found = drawn.groupBy(F.lit(1).alias("one")).applyInPandas(run, "weights binary").collect()
+    drawn = drawn.groupBy("id", "label").agg(F.min("text").alias("text"))  # one text for a repeated id
+    found = drawn.groupBy(F.lit(1).alias("one")).applyInPandas(lambda rows: run(rows.sort_values("id")), "weights binary").collect()
     return bytes(found[0].weights) if found else gru.pack(Network.fresh({n: np.zeros(0, np.int64) for n in TABLES}).p | {"head": np.array([-5.0, 1.0, 0.0])})
 
 
@@ -384,10 +408,10 @@ def score(df: DataFrame, weights: bytes, text: str = "text", out: str = "score")
     return df.withColumn(out, of(F.col(text)))
 
 
-def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training rows: documents with a label whose id has another remainder than 1."""
+def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> bytes:
+    """Weights from the labels table and docs; labels of ids with the remainder 1 are held out."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
-    return docs.select(F.col("doc_id").alias("id"), "text").filter(remainder(F.col("id"), 3) != 1).join(labels, "id")
+    return train(docs.select(F.col("doc_id").alias("id"), "text"), labels.filter(remainder(F.col("id"), 3) != 1))
 
 
 def reject(df: DataFrame, weights: bytes, threshold: float = 0.7, text: str = "text") -> DataFrame:
@@ -398,5 +422,5 @@ def reject(df: DataFrame, weights: bytes, threshold: float = 0.7, text: str = "t
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: every document scored; labels of two thirds of the ids are used."""
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs.select("doc_id", "text"), train(labelled(spark, docs, sf_dir)))
+    scored = score(docs.select("doc_id", "text"), trained(spark, docs, sf_dir))
     return scored.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
