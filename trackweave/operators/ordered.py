@@ -13,43 +13,58 @@ from pyspark.sql import functions as F
 Names = list[str]
 
 
-def _joined(rows: DataFrame, small: DataFrame, keys: Names) -> DataFrame:
-    """rows with small's other columns, keys compared with nulls equal."""
-    other = small.select(*(F.col(k).alias(f"__{k}") for k in keys), *(c for c in small.columns if c not in keys))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return rows.join(other, same).drop(*(f"__{k}" for k in keys))
+def _keyed(df: DataFrame, group: Names, bucket: str) -> DataFrame:
+    """df with __key, group and bucket as one value: never null itself, nulls inside compare equal.
+
+    Windows, aggregates and joins on __key have one partitioning, so rows move once for all of them.
+    """
+    return df.withColumn("__key", F.struct(*group, bucket))
+
+
+def _before(summary: DataFrame, group: Names, bucket: str, value: Column) -> DataFrame:
+    """(__at, __before): value over the buckets of a group before each one."""
+    w = Window.partitionBy(*(F.col(f"__key.{g}") for g in group)).orderBy(F.col(f"__key.{bucket}"))
+    return summary.select(F.col("__key").alias("__at"), value.over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+
+
+def _previous(rows: DataFrame, group: Names, order: Names, value: Column, name: str, bucket: str) -> DataFrame:
+    boxed = F.struct(value.alias("value"))
+    w = Window.partitionBy("__key").orderBy(*order)
+    last = rows.groupBy("__key").agg(F.max_by(boxed, F.struct(*order)).alias("__last"))
+    before = _before(last, group, bucket, F.last("__last"))
+    out = rows.withColumn(name, F.lag(boxed).over(w)).join(before, F.col("__key") == F.col("__at"))
+    # inside a bucket only its first row has nothing before it
+    return out.withColumn(name, F.coalesce(F.col(name), F.col("__before"))).drop("__at", "__before")
+
+
+def _running_sum(rows: DataFrame, group: Names, order: Names, value: Column, name: str, bucket: str) -> DataFrame:
+    w = Window.partitionBy("__key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = _before(rows.groupBy("__key").agg(F.sum(value).alias("__sum")), group, bucket, F.sum("__sum"))
+    out = rows.withColumn(name, F.sum(value).over(w))
+    kind = out.schema[name].dataType
+    total = F.when(F.col("__before").isNull(), F.col(name)).otherwise(F.coalesce(F.col(name), F.lit(0)) + F.col("__before"))
+    return out.join(before, F.col("__key") == F.col("__at")).withColumn(name, total.cast(kind)).drop("__at", "__before")
 
 
 def with_previous(df: DataFrame, group: Names, order: Names, value: Column, name: str, bucket: str | None = None) -> DataFrame:
     """df with `name`: {value} of the row before in the group, null at its first row."""
-    boxed = F.struct(value.alias("value"))
     if bucket is None:
-        return df.withColumn(name, F.lag(boxed).over(Window.partitionBy(*group).orderBy(*order)))
-    keys = [*group, bucket]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.withColumn("__first", F.row_number().over(w) == 1).withColumn(name, F.lag(boxed).over(w))
-    last = rows.groupBy(*keys).agg(F.max_by(boxed, F.struct(*order)).alias("__last"))
-    before = last.select(*keys, F.lag("__last").over(Window.partitionBy(*group).orderBy(bucket)).alias("__before"))
-    return _joined(rows, before, keys).withColumn(name, F.when(F.col("__first"), F.col("__before")).otherwise(F.col(name))).drop("__first", "__before")
+        return df.withColumn(name, F.lag(F.struct(value.alias("value"))).over(Window.partitionBy(*group).orderBy(*order)))
+    return _previous(_keyed(df, group, bucket), group, order, value, name, bucket).drop("__key")
 
 
 def with_running_sum(df: DataFrame, group: Names, order: Names, value: Column, name: str, bucket: str | None = None) -> DataFrame:
     """df with `name`: the sum of value up to and with each row of the group."""
     if bucket is None:
         return df.withColumn(name, F.sum(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    keys = [*group, bucket]
-    rows = df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    sums = df.groupBy(*keys).agg(F.sum(value).alias("__sum"))
-    before = sums.select(*keys, F.sum("__sum").over(Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
-    kind = rows.schema[name].dataType
-    total = F.when(F.col("__before").isNull(), F.col(name)).otherwise(F.coalesce(F.col(name), F.lit(0)) + F.col("__before"))
-    return _joined(rows, before, keys).withColumn(name, total.cast(kind)).drop("__before")
+    return _running_sum(_keyed(df, group, bucket), group, order, value, name, bucket).drop("__key")
 
 
 def with_islands(df: DataFrame, group: Names, order: Names, value: Column, name: str, bucket: str | None = None) -> DataFrame:
     """df with `name`: the number, from 0, of the run of equal neighbouring values; nulls are equal."""
-    rows = with_previous(df, group, order, value, "__prev", bucket)
     changed = F.when(F.col("__prev").isNotNull() & ~value.eqNullSafe(F.col("__prev.value")), 1).otherwise(0).cast("bigint")
-    return with_running_sum(rows.withColumn("__changed", changed), group, order, F.col("__changed"), name, bucket).drop("__prev", "__changed")
+    if bucket is None:
+        rows = with_previous(df, group, order, value, "__prev").withColumn("__changed", changed)
+        return with_running_sum(rows, group, order, F.col("__changed"), name).drop("__prev", "__changed")
+    rows = _previous(_keyed(df, group, bucket), group, order, value, "__prev", bucket).withColumn("__changed", changed)
+    return _running_sum(rows, group, order, F.col("__changed"), name, bucket).drop("__key", "__prev", "__changed")
