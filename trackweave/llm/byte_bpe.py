@@ -25,7 +25,7 @@ from trackweave.llm import pretokens
 from trackweave.llm.common import slices, table
 
 #: Adjacent pairs whose compatibility a worker remembers.
-PAIR_MEMO = 1 << 20
+PAIR_MEMO = 1 << 18
 
 
 class Encoder:

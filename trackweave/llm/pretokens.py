@@ -12,7 +12,7 @@ import regex
 
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 #: Pieces kept by a worker's cache before it starts anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 
 
 class Memo:

@@ -30,6 +30,8 @@ from trackweave.llm.common import new_path, slices, table
 MAGIC = b"TWDAC1\0\0"
 BLOCK = 512
 SEGMENT_IDS = 1 << 20
+#: Words, and pieces of words, whose ids a worker keeps.
+CACHE_ENTRIES = 900_000
 #: New words that the library gets in one string.
 LINE = 512
 SCHEMA = "part int, seq int, first_id bigint, last_id bigint, n_docs bigint, n_ids bigint, before bigint, payload binary"
@@ -119,12 +121,12 @@ class LibraryIds:
         self.lengths = np.zeros(self.library.get_vocab_size(), np.int64)
         for token, i in self.library.get_vocab().items():
             self.lengths[i] = len(token)  # a letter a byte
-        self.memo = pretokens.Memo(self.coded)
+        self.memo = pretokens.Memo(self.coded, CACHE_ENTRIES)
         self.words: dict[str, bytes] = {}
 
     def coded(self, texts: list[str]) -> list[bytes]:
         split = [pretokens.PATTERN.findall(t) for t in texts]
-        if len(self.words) > pretokens.CACHE_ENTRIES:
+        if len(self.words) > CACHE_ENTRIES:
             self.words = {}
         new = list(set().union(*split).difference(self.words))
         for a in range(0, len(new), LINE):

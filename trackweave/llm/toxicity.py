@@ -49,7 +49,7 @@ APART = 4
 #: Passes over the sample: so many at least, more for a small one until TAUGHT documents have taught.
 EPOCHS, MOST_EPOCHS, TAUGHT = 4, 40, 12_000
 #: Distinct words whose projected inputs a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -226,10 +226,11 @@ def window_ids(flat: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndar
     """ids(WINDOW, windows) and the document of each window; flat has a row number a word."""
     counts = np.diff(begin)
     doc, first = windows(counts)
-    place = first[None, :] + np.arange(WINDOW)[:, None]
-    there = place < counts[doc]
-    at = np.where(there, begin[doc] + place, 0)
-    return (np.where(there, flat[at], 0).astype(np.int32) if len(flat) else np.zeros(at.shape, np.int32)), doc
+    out = np.zeros((WINDOW, len(doc)), np.int32)
+    for k in range(WINDOW if len(flat) else 0):
+        there = first + k < counts[doc]
+        out[k] = np.where(there, flat[np.where(there, begin[doc] + first + k, 0)], 0)
+    return out, doc
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
@@ -239,16 +240,18 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> dict[str, np.nda
     blank = max(2, len(texts) // 50)
     texts = [*texts, *([""] * blank), *(f"\ue000{i} " * WINDOW for i in range(blank))]
     labels = np.concatenate((labels, np.zeros(2 * blank)))
-    docs = [[clean(x) for x in t.lower().split()] for t in texts]
-    names = {"": 0}
-    flat = np.array([names.setdefault(w, len(names)) for d in docs for w in d], np.int64)
-    begin = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(np.int64)
+    names, rows = {"": 0}, []
+    for t in texts:  # words become numbers at once, so that only distinct ones are kept
+        rows.append(np.array([names.setdefault(w, len(names)) for w in map(clean, t.lower().split())], np.int32))
+    n, flat = len(texts), np.concatenate(rows)
+    begin = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
+    del rows, texts
     units = features(list(names))
-    apart = np.zeros(len(docs), bool)
-    if len(docs) >= 10 * APART:
-        apart[rng.permutation(len(docs))[: len(docs) // APART]] = True
+    apart = np.zeros(n, bool)
+    if n >= 10 * APART:
+        apart[rng.permutation(n)[: n // APART]] = True
     # start from what single units say: smoothed log odds over documents
-    doc_of = np.repeat(np.arange(len(docs)), np.diff(begin))
+    doc_of = np.repeat(np.arange(n), np.diff(begin))
     seen = np.unique((doc_of * np.int64(len(names)) + flat)[~apart[doc_of]])
     d, w = seen // len(names), seen % len(names)
     y = labels[~apart]
@@ -272,7 +275,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> dict[str, np.nda
     ids, doc = window_ids(flat, begin)
     adam = gru.Adam({k: v for k, v in net.p.items() if k != "head" and not k.endswith("_slots")}, 0.01)
     usable = ~apart[doc]
-    epochs = min(MOST_EPOCHS, max(EPOCHS, TAUGHT // max(1, len(docs))))
+    epochs = min(MOST_EPOCHS, max(EPOCHS, TAUGHT // max(1, n)))
     for epoch in range(epochs):
         vectors = net.vectors(units)
         if epoch == 0:  # the highest unit decides which window teaches first
@@ -283,7 +286,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> dict[str, np.nda
         rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
         top = order[(rank < 2) & usable[order]]
         others = np.flatnonzero((labels[doc] == 0) & usable)
-        extra = rng.choice(others, min(len(docs), len(others)), replace=False) if len(others) else np.zeros(0, np.int64)
+        extra = rng.choice(others, min(n, len(others)), replace=False) if len(others) else np.zeros(0, np.int64)
         # rare labels are repeated, so that a batch holds some of each
         again = np.repeat(top[labels[doc[top]] == 1], min(4, max(1, int(0.3 / max(labels.mean(), 1e-3)))) - 1)
         chosen = rng.permutation(np.concatenate((top, extra, again)))
@@ -304,7 +307,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> dict[str, np.nda
                 g[name][0] = 0
             adam.step(g)
         adam.rate *= 0.1 ** (1 / epochs)
-    found = net.documents(net.project(net.vectors(units)), ids, doc, len(docs))
+    found = net.documents(net.project(net.vectors(units)), ids, doc, n)
     net.p["head"] = logistic(found[apart] if apart.any() else found, labels[apart] if apart.any() else labels)
     return net.p
 
