@@ -104,7 +104,8 @@ _SPELLED_GATE = re.compile(rf"(?<![^\W_])(?:{_WORD_DIGITS})[ ,/-]+(?:{_WORD_DIGI
 _SPELLED_TOKEN = re.compile(rf"plus|{_WORD_DIGITS}|[0-9]+", re.I)
 _BRACKET_AT = re.compile(r" ?[\[({<] ?(?:at|@|ät|arroba|arobase) ?[\])}>] ?", re.I)
 _BRACKET_DOT = re.compile(r" ?[\[({<] ?(?:dot|punkt|punto|point|\.) ?[\])}>] ?", re.I)
-_LOOSE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.| dot )[A-Za-z0-9_%+-]+)*(?: ?@ ?|(?: at |[-_]at[-_]))[A-Za-z0-9-]+(?:(?: dot |[-_]dot[-_]| ?\. ?)[A-Za-z0-9-]+)+(?![A-Za-z0-9])", re.I)
+_LOOSE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.| dot )[A-Za-z0-9_%+-]+){0,9}(?: ?@ ?|(?: at |[-_]at[-_]))[A-Za-z0-9-]+(?:(?: dot |[-_]dot[-_]| ?\. ?)[A-Za-z0-9-]+){1,9}(?![A-Za-z0-9])", re.I)
+#: Both sides have at most ten parts in _LOOSE, so that a text of nothing but "a dot a dot" takes linear time.
 _LOOSE_GATE = re.compile(r"[ _-](?:at|dot)[ _-]| @|@ ", re.I)
 _WORD_DOT = re.compile(r" dot |[-_]dot[-_]", re.I)
 _IP_DOT = re.compile(r"(?<=[0-9])(?: dot | ?[\[({] ?(?:\.|dot) ?[\])}] ?)(?=[0-9])", re.I)
