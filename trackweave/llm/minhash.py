@@ -26,6 +26,10 @@ from trackweave.llm.common import slices, table, written
 from trackweave.llm.ragged import U, Words, mix, shingles
 
 ROWS, BANDS = 5, 36
+#: Ids that are sent to every task to filter documents where they lie; more of them are joined by a shuffle.
+SENT_IDS = 1 << 20
+#: Bytes of text that are cut into shingles at a time.
+SLICE = 2 << 20
 T = ROWS * BANDS
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
@@ -77,7 +81,7 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), SLICE):
                 ids, sets = batch.column(0).slice(a, b - a), shingle_sets(batch.column(1).slice(a, b - a), size)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys = band_keys(sketches([sets[i] for i in full])).astype(np.int64)
@@ -90,28 +94,41 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, n_shingles bigint, set_key binary, bands array<bigint>")
 
 
-def sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """(id, shingles array<bigint>) of each row of docs(id, text)."""
+def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(id, version, shingles array<bigint>) of the rows of docs(id, text) with an id in wanted(id), as a table.
+
+    An id with several texts has several versions.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1)):
-                sets = [s.view(np.int64) for s in shingle_sets(batch.column(1).slice(a, b - a), size)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            for a, b in slices(batch.column(1), SLICE):
+                sets = shingle_sets(batch.column(1).slice(a, b - a), size)
+                version = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(version, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "version", "shingles"])
 
-    return docs.mapInArrow(run, "id bigint, shingles array<bigint>")
+    wanted = written(wanted.distinct(), "wanted")
+    few = wanted.count() <= SENT_IDS
+    own = docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+    return written(own.mapInArrow(run, "id bigint, version bigint, shingles array<bigint>"), "sets")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have a similarity of percent / 100 or more."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = sets_of(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"]), size)
-    sets = written(sets, "sets")
+    sets = sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), size)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def one_text_a_row(docs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """docs(id, text) without rows that repeat id and text; only ids that occur twice are moved."""
+    repeated = written(sketch.groupBy("id").count().filter("count > 1").select("id"), "repeated")
+    if repeated.isEmpty():
+        return docs
+    return docs.join(repeated, "id", "left_anti").unionByName(docs.join(repeated, "id", "left_semi").dropDuplicates(["id", "text"]))
+
+
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
     """(id, comp) of every id in edges(a, b): comp is the smallest id it reaches.
 
@@ -137,9 +154,9 @@ def across(rest: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFra
     Two sets of similarity p / 100 share one of the n - ceil(p n / 100) + 1 rarest shingles of
     either; joined on these, texts don't meet over a passage that many of them hold.
     """
-    sets = written(sets_of(docs.join(rest.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), size), "sets")
-    each = sets.select("id", F.explode("shingles").alias("x"))
-    rare = each.join(each.groupBy("x").agg(F.count("*").alias("k")), "x").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("xs"), F.count("*").alias("n"))
+    sets = sets_of(docs, rest.select(F.col("rep").alias("id")), size)
+    each = sets.select("id", "version", F.explode("shingles").alias("x"))
+    rare = each.join(each.groupBy("x").agg(F.count("*").alias("k")), "x").groupBy("id", "version").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("xs"), F.count("*").alias("n"))
     head = F.slice("xs", F.lit(1), F.col("n").cast("int") - F.floor((percent * F.col("n") + 99) / 100).cast("int") + 1)
     keys = rare.join(rest.withColumnRenamed("rep", "id"), "id").select("id", "comp", "n", F.posexplode(head["x"]).alias("at", "x"))
     keys = written(keys, "rare")
@@ -164,6 +181,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, text: str =
     docs = df.select(df[key].cast("bigint").alias("id"), df[text].alias("text"))
     sk = written(sketched(docs, size), "sketches")
     full = sk.filter("id IS NOT NULL AND n_shingles > 0")
+    docs = one_text_a_row(docs, full)
     classes = written(full.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "classes")
     members = full.join(classes.select("set_key", "rep"), "set_key").select("id", "rep").distinct()
 
