@@ -186,11 +186,10 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, text: str =
     members = full.join(classes.select("set_key", "rep"), "set_key").select("id", "rep").distinct()
 
     buckets = classes.select("rep", "n", F.explode("bands").alias("band"))
-    centres = buckets.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("band", "low")
-    shared = written(buckets.join(centres, "band").select("band", "rep", "n", "low"), "buckets")
-    sizes = classes.select(F.col("rep").alias("low"), F.col("n").alias("low_n")).join(shared.select("low").distinct(), "low", "left_semi")
-    may = (100 * F.least("n", "low_n") >= percent * F.greatest("n", "low_n"))
-    tried = written(shared.filter("rep <> low").select("rep", "n", "low").distinct().join(sizes, "low").filter(may).select(F.col("low").alias("a"), F.col("rep").alias("b")), "pairs")
+    centres = buckets.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("high")).filter("c.rep < high").select("band", F.col("c.rep").alias("low"), F.col("c.n").alias("low_n"))
+    shared = written(buckets.join(centres, "band"), "buckets")
+    may = 100 * F.least("n", "low_n") >= percent * F.greatest("n", "low_n")
+    tried = written(shared.filter((F.col("rep") != F.col("low")) & may).select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     edges = written(confirmed(tried, docs, size, percent), "links")
     comps = components(edges)
 
