@@ -2,6 +2,7 @@
 
 import random
 
+import oracle
 from cases import TEXTS, frame
 
 from trackweave.llm import minhash
@@ -64,6 +65,10 @@ def test_the_table(spark, sf_dir):
     assert any(not r[3] for r in want)
 
 
+def test_the_sql_gives_the_same_rows(spark, sf_dir):
+    assert oracle.differences(minhash.query(spark, sf_dir), oracle.connect(sf_dir), minhash.ORACLE) == ""
+
+
 def test_odd_rows(spark):
     got = minhash.near_duplicates(frame(spark)).collect()
     assert len(got) == len(TEXTS)

@@ -23,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.oracle(),
+    "op3_near_dedup": minhash.ORACLE,
     "op4_licenses": licenses.oracle(),
 }
