@@ -43,6 +43,10 @@ class Encoder:
         self.automaton.make_automaton()
         self.size = {r: len(t) for t, r in self.rank.items()}
         self.shorter: dict[int, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what was remembered of texts, so that an idle worker holds the vocabulary only."""
         self.memo: dict[int, bool] = {}
         self.known = pretokens.Memo(self.coded)
         self.words: dict[str, bytes] = {}
@@ -170,14 +174,17 @@ def encode_decode(df: DataFrame, ranks: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks)
-        for batch in batches:
-            for a, b in slices(batch.column(0)):
-                coded = enc.texts([x or "" for x in batch.column(0).slice(a, b - a).to_pylist()])
-                ids = np.frombuffer(b"".join(coded), "<i4")
-                offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in coded]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
-                decoded = [enc.decode(np.frombuffer(x, "<i4").tolist()) for x in coded]
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), lists, pa.array(decoded, pa.binary())], names=[*others, "ids", "decoded"])
+        try:
+            for batch in batches:
+                for a, b in slices(batch.column(0)):
+                    coded = enc.texts([x or "" for x in batch.column(0).slice(a, b - a).to_pylist()])
+                    ids = np.frombuffer(b"".join(coded), "<i4")
+                    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in coded]))).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+                    decoded = [enc.decode(np.frombuffer(x, "<i4").tolist()) for x in coded]
+                    yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), lists, pa.array(decoded, pa.binary())], names=[*others, "ids", "decoded"])
+        finally:
+            enc.forget()
 
     schema = T.StructType([*(df.schema[c] for c in others), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
     return df.select(df[text], *(df[c] for c in others)).mapInArrow(run, schema)

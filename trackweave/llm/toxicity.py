@@ -48,6 +48,8 @@ LEAST = 3
 APART = 4
 #: Passes over the sample: so many at least, more for a small one until TAUGHT documents have taught.
 EPOCHS, MOST_EPOCHS, TAUGHT = 4, 40, 12_000
+#: Bytes of text that are scored at a time.
+SLICE = 2 << 20
 #: Distinct words whose projected inputs a worker keeps.
 CACHE_WORDS = 150_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -405,7 +407,7 @@ def score(df: DataFrame, weights: bytes, text: str = "text", out: str = "score")
         scorer = Scorer(weights)
         for texts in batches:
             column = pa.array(texts, pa.string(), from_pandas=True)
-            parts = [scorer.score([x or "" for x in column.slice(a, b - a).to_pylist()]) for a, b in slices(column)]
+            parts = [scorer.score([x or "" for x in column.slice(a, b - a).to_pylist()]) for a, b in slices(column, SLICE)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return df.withColumn(out, of(F.col(text)))
