@@ -49,9 +49,9 @@ APART = 4
 #: Passes over the sample: so many at least, more for a small one until TAUGHT documents have taught.
 EPOCHS, MOST_EPOCHS, TAUGHT = 4, 40, 12_000
 #: Bytes of text that are scored at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Distinct words whose projected inputs a worker keeps.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -402,13 +402,12 @@ def score(df: DataFrame, weights: bytes, text: str = "text", out: str = "score")
     repeated rows stay; an empty table stays empty. Only the text decides.
     """
 
-    @F.pandas_udf("double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(weights)
-        for texts in batches:
-            column = pa.array(texts, pa.string(), from_pandas=True)
+        for column in batches:
             parts = [scorer.score([x or "" for x in column.slice(a, b - a).to_pylist()]) for a, b in slices(column, SLICE)]
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return df.withColumn(out, of(F.col(text)))
 
