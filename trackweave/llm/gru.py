@@ -46,6 +46,8 @@ def forward(inputs, h: np.ndarray, u: np.ndarray, keep: bool = False, alive: np.
 
 def backward(d_out: np.ndarray, cache: list, u: np.ndarray, alive: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the inputs and of u, given those of the states."""
+    if alive is None:
+        return _backward_all(d_out, cache, u)
     steps, lanes, size = d_out.shape
     d_in, d_u, d_h = np.empty((steps, lanes, 3 * size), F32), np.zeros_like(u), np.zeros((lanes, size), F32)
     for t in range(steps - 1, -1, -1):
@@ -67,6 +69,26 @@ def backward(d_out: np.ndarray, cache: list, u: np.ndarray, alive: np.ndarray |
     return d_in, d_u
 
 
+def _backward_all(d_out: np.ndarray, cache: list, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """backward() where all steps count: what doesn't need later steps is worked out for all of them at once."""
+    steps, lanes, size = d_out.shape
+    h, z, r, n, an = (np.stack(x) for x in zip(*cache, strict=True))
+    by_n = (1 - z) * (1 - n * n)
+    by = np.concatenate(((h - n) * z * (1 - z), by_n * an * r * (1 - r), by_n * r), 2).reshape(steps, lanes, 3, size)
+    da, d_h, back = np.empty((steps, lanes, 3, size), F32), np.zeros((lanes, size), F32), np.ascontiguousarray(u.T)
+    d_n = np.empty((steps, lanes, size), F32)
+    for t in range(steps - 1, -1, -1):
+        d = np.add(d_h, d_out[t], out=d_n[t])
+        np.multiply(by[t], d[:, None], out=da[t])
+        d_h = da[t].reshape(lanes, 3 * size) @ back
+        d_h += d * z[t]
+    da = da.reshape(steps, lanes, 3 * size)
+    d_u = h.reshape(-1, size).T @ da.reshape(-1, 3 * size)
+    d_in = da.copy()
+    np.multiply(d_n, by_n, out=d_in[:, :, 2 * size :])
+    return d_in, d_u
+
+
 class Adam:
     """Adam steps over a dictionary of arrays, with the gradients' norm held to a bound."""
 
