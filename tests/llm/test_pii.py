@@ -86,3 +86,10 @@ def test_odd_rows_and_masks(spark):
     assert pii.detect(frame(spark, [])).collect() == []
     digest = {r.doc_id: r for r in pii.digests(pii.detect(df)).collect()}
     assert digest[2].spans == "" and digest[70].spans == "email:2:8,ip:13:20"
+
+
+def test_joined_ats_and_long_addresses():
+    for text in ("john_at_example.com", "john-at-example.com", "jane.doe_at_mail.example.com", "ann-at-example-dot-com", " dot ".join("abcdefghijklmn") + " at x dot org", "ann at " + " dot ".join("abcdefghijklmn") + " dot com", "ann @ " + ".".join("abcdefghijklmn") + ".com"):
+        assert found(f"({text}) ok") == [("email", text)], text
+    for text in ("look-at-me", "a dot " * 50_000, "a-at-" * 50_000, "at the state-of-the-art-at-home page"):
+        assert found(text) == [], text[:40]

@@ -104,10 +104,14 @@ _SPELLED_GATE = re.compile(rf"(?<![^\W_])(?:{_WORD_DIGITS})[ ,/-]+(?:{_WORD_DIGI
 _SPELLED_TOKEN = re.compile(rf"plus|{_WORD_DIGITS}|[0-9]+", re.I)
 _BRACKET_AT = re.compile(r" ?[\[({<] ?(?:at|@|ät|arroba|arobase) ?[\])}>] ?", re.I)
 _BRACKET_DOT = re.compile(r" ?[\[({<] ?(?:dot|punkt|punto|point|\.) ?[\])}>] ?", re.I)
-_LOOSE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.| dot )[A-Za-z0-9_%+-]+){0,9}(?: ?@ ?|(?: at |[-_]at[-_]))[A-Za-z0-9-]+(?:(?: dot |[-_]dot[-_]| ?\. ?)[A-Za-z0-9-]+){1,9}(?![A-Za-z0-9])", re.I)
-#: Both sides have at most ten parts in _LOOSE, so that a text of nothing but "a dot a dot" takes linear time.
+#: Parts before an at, and after it; no part is tried twice, so that a text of nothing but "a dot a dot" takes linear time.
+_LOOSE_LOCAL = re.compile(r"[A-Za-z0-9_%+-]++(?:(?:\.| dot )[A-Za-z0-9_%+-]++)*+", re.I)
+_LOOSE_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:(?: dot |_dot[-_]|(?<=-dot)_| ?\. ?)[A-Za-z0-9-]++)*+", re.I)
+_LOOSE_DOT = re.compile(r"(?: dot |[-_]dot[-_]| ?\. ?)(?=[A-Za-z0-9-])", re.I)
+_NEXT_AT, _INNER_AT = re.compile(r" ?@ ?| at ", re.I), re.compile(r"[-_]at(?=[-_])", re.I)
 _LOOSE_GATE = re.compile(r"[ _-](?:at|dot)[ _-]| @|@ ", re.I)
 _WORD_DOT = re.compile(r" dot |[-_]dot[-_]", re.I)
+_LOCAL_DOT = re.compile(" dot ", re.I)
 _IP_DOT = re.compile(r"(?<=[0-9])(?: dot | ?[\[({] ?(?:\.|dot) ?[\])}] ?)(?=[0-9])", re.I)
 
 
@@ -186,6 +190,35 @@ def _single(t: Traced, pattern: re.Pattern, ch: str) -> None:
     t.replace([(*m.span(), [(ch, *m.span())]) for m in pattern.finditer(t.text)])
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Ranges shaped like addresses with any number of parts, looked for around each at, in linear time."""
+    free = 0
+    for run in _LOOSE_LOCAL.finditer(text):
+        start = run.start()
+        if start and text[start - 1] in _LOCAL:
+            if not (cut := _LOCAL_DOT.search(text, start, run.end())):
+                continue
+            start = cut.end()
+        if start < free:
+            continue
+        marks = [(m.start(), m.end() + 1) for m in _INNER_AT.finditer(text, start + 1, run.end())]
+        if m := _NEXT_AT.match(text, run.end()):
+            marks.append(m.span())
+        after, end, dotted = len(text), len(text), False
+        for a, b in reversed(marks):  # a domain that runs into the next at goes on as that one's does
+            d = _LOOSE_DOMAIN.match(text, b, after)
+            own = d is not None and _LOOSE_DOT.search(text, b, d.end()) is not None
+            if d is not None and d.end() == after < len(text):
+                dotted = own or dotted
+            else:
+                end, dotted = d.end() if d else b, own
+            after = b
+            if dotted:
+                yield start, end
+                free = end
+                break
+
+
 def at_and_dot(t: Traced) -> None:
     """Bracketed forms anywhere; bare words only inside something shaped like an address."""
     if _BRACKET_AT.search(t.text):
@@ -197,8 +230,8 @@ def at_and_dot(t: Traced) -> None:
     if not _LOOSE_GATE.search(t.text):
         return
     edits = []
-    for m in _LOOSE.finditer(t.text):
-        g = m.group()
+    for first, last in addresses(t.text):
+        g = t.text[first:last]
         at = re.search(r" ?@ ?| at |[-_]at[-_]", g, re.I)
         domain = g[at.end() :]
         if at.group() != "@" and not re.fullmatch(r"[A-Z]{2,12}", re.split(r"[. _-]+", domain)[-1], re.I):
@@ -206,15 +239,15 @@ def at_and_dot(t: Traced) -> None:
         if " at " in at.group().lower() and (not _WORD_DOT.search(domain) or re.search(r" \.|\. ", domain)):
             continue  # "look at this. page" is no address
         if at.group() != "@":
-            edits.append((m.start() + at.start(), m.start() + at.end(), [("@", m.start() + at.start(), m.start() + at.end())]))
+            edits.append((first + at.start(), first + at.end(), [("@", first + at.start(), first + at.end())]))
         for d in re.finditer(r" dot |[-_]dot[-_]| ?\. ?", g, re.I):
             if d.group() != ".":
-                a, b = m.start() + d.start(), m.start() + d.end()
+                a, b = first + d.start(), first + d.end()
                 edits.append((a, b, [(".", a, b)]))
     t.replace(sorted(edits))
 
 
-_GATE = re.compile(r"[\[({<] ?(?:at|@|ät|arroba|arobase|dot|punkt|punto|point|\.) ?[\])}>]|[ _-]dot[ _-]| @|@ ", re.I)
+_GATE = re.compile(r"[\[({<] ?(?:at|@|ät|arroba|arobase|dot|punkt|punto|point|\.) ?[\])}>]|[ _-]dot[ _-]|[_-]at[_-]| @|@ ", re.I)
 
 
 def find(text: str) -> list[tuple[str, int, int, bool]]:
