@@ -25,7 +25,11 @@ from trackweave.llm import pretokens
 from trackweave.llm.common import slices, table
 
 #: Adjacent pairs whose compatibility a worker remembers.
-PAIR_MEMO = 1 << 18
+PAIR_MEMO = 1 << 16
+#: Words, and pieces of texts, whose ids a worker remembers.
+CACHE_ENTRIES = 120_000
+#: Bytes of text that are encoded at a time.
+SLICE = 1 << 20
 
 
 class Encoder:
@@ -48,7 +52,7 @@ class Encoder:
     def forget(self) -> None:
         """Drop what was remembered of texts, so that an idle worker holds the vocabulary only."""
         self.memo: dict[int, bool] = {}
-        self.known = pretokens.Memo(self.coded)
+        self.known = pretokens.Memo(self.coded, CACHE_ENTRIES)
         self.words: dict[str, bytes] = {}
 
     def _parts(self, token: bytes) -> tuple[int, int] | None:
@@ -139,7 +143,7 @@ class Encoder:
     def coded(self, new: list[str]) -> list[bytes]:
         split = [pretokens.PATTERN.findall(p) for p in new]
         words = {w: None for ws in split for w in ws}
-        if len(self.words) > pretokens.CACHE_ENTRIES:
+        if len(self.words) > CACHE_ENTRIES:
             self.words = {}
         for w in words:
             if w not in self.words:
@@ -176,7 +180,7 @@ def encode_decode(df: DataFrame, ranks: str, text: str = "text") -> DataFrame:
         enc = encoder(ranks)
         try:
             for batch in batches:
-                for a, b in slices(batch.column(0)):
+                for a, b in slices(batch.column(0), SLICE):
                     coded = enc.texts([x or "" for x in batch.column(0).slice(a, b - a).to_pylist()])
                     ids = np.frombuffer(b"".join(coded), "<i4")
                     offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in coded]))).astype(np.int32)

@@ -29,7 +29,7 @@ ROWS, BANDS = 5, 36
 #: Ids that are sent to every task to filter documents where they lie; more of them are joined by a shuffle.
 SENT_IDS = 1 << 20
 #: Bytes of text that are cut into shingles at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 T = ROWS * BANDS
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 

@@ -51,7 +51,7 @@ EPOCHS, MOST_EPOCHS, TAUGHT = 4, 40, 12_000
 #: Bytes of text that are scored at a time.
 SLICE = 1 << 20
 #: Distinct words whose projected inputs a worker keeps.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 60_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
