@@ -10,6 +10,11 @@ probability (1 - 0.8**5)**36 < 1e-6. Texts with equal shingle sets are one class
 In a bucket each class is checked against the bucket's smallest id. Classes of buckets that then hold
 several components are joined once more, on their rarest shingles, which misses no pair of the
 wanted similarity; pairs within a component need no further look. No bucket is capped. Links count only after an exact check on the full shingle sets.
+
+Full sets are cut in one second pass over the texts, where these lie, and only of texts that share a
+bucket: a bitmap of BITMAP_BITS bits, whatever the number of texts, says which. Past its room it lets
+more texts through, and nothing else changes. Texts are never shuffled, and what joins by a bucket's
+centre is dealt over SALTS tasks for each centre.
 """
 
 from __future__ import annotations
@@ -26,8 +31,10 @@ from trackweave.llm.common import slices, table, written
 from trackweave.llm.ragged import U, Words, mix, shingles
 
 ROWS, BANDS = 5, 36
-#: Ids that are sent to every task to filter documents where they lie; more of them are joined by a shuffle.
-SENT_IDS = 1 << 20
+#: Bits of the map of ids whose sets are wanted (2 ** BITMAP_BITS / 8 bytes are sent to every task).
+BITMAP_BITS = 26
+#: Tasks that the pairs of one centre are dealt over.
+SALTS = 64
 #: Bytes of text that are cut into shingles at a time.
 SLICE = 1 << 20
 T = ROWS * BANDS
@@ -94,29 +101,47 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, n_shingles bigint, set_key binary, bands array<bigint>")
 
 
+def bitmap_of(ids: DataFrame, bits: int) -> np.ndarray:
+    """2 ** bits bits as 64-bit words, set at the hashes of ids(id); at most one row a word is gathered."""
+    slot = F.shiftrightunsigned(F.xxhash64("id"), 64 - bits)
+    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(id, version, shingles array<bigint>) of the rows of docs(id, text) with an id in wanted(id), as a table.
 
-    An id with several texts has several versions.
+    An id with several texts has several versions. Some other ids may be among them.
     """
+    bits = BITMAP_BITS
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = sent.value
         for batch in batches:
+            slot = batch.column(2).to_numpy().view(U) >> U(64 - bits)
+            own = marks[(slot >> U(6)).astype(np.int64)].view(U) >> (slot & U(63)) & U(1)
+            batch = batch.filter(pa.array(own.astype(bool)))
             for a, b in slices(batch.column(1), SLICE):
                 sets = shingle_sets(batch.column(1).slice(a, b - a), size)
                 version = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(version, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "version", "shingles"])
 
-    wanted = written(wanted.distinct(), "wanted")
-    few = wanted.count() <= SENT_IDS
-    own = docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+    own = docs.filter("id IS NOT NULL").select("id", "text", F.xxhash64("id"))
     return written(own.mapInArrow(run, "id bigint, version bigint, shingles array<bigint>"), "sets")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have a similarity of percent / 100 or more."""
-    sets = sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), size)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have a similarity of percent / 100 or more.
+
+    A centre a may have any number of partners b, so its set is copied to as many of SALTS places as
+    they need and meets them there.
+    """
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
+    places = dealt.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = dealt.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(places, ["a", "salt"])
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
@@ -148,13 +173,13 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
         labels = new.select("id", "comp")
 
 
-def across(rest: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components of rest(rep, comp) that can be links, all of them.
 
     Two sets of similarity p / 100 share one of the n - ceil(p n / 100) + 1 rarest shingles of
     either; joined on these, texts don't meet over a passage that many of them hold.
     """
-    sets = sets_of(docs, rest.select(F.col("rep").alias("id")), size)
+    sets = sets.join(rest.select(F.col("rep").alias("id")), "id", "left_semi")
     each = sets.select("id", "version", F.explode("shingles").alias("x"))
     rare = each.join(each.groupBy("x").agg(F.count("*").alias("k")), "x").groupBy("id", "version").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("xs"), F.count("*").alias("n"))
     head = F.slice("xs", F.lit(1), F.col("n").cast("int") - F.floor((percent * F.col("n") + 99) / 100).cast("int") + 1)
@@ -175,7 +200,9 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, text: str =
     words than size is one shingle; a text without words (or null) has none and links to
     nothing. class_id is the smallest key with the same shingle set, component_id the smallest
     one reachable over links. Rows of a repeated key each give a row; they carry the component of
-    the key, links being found from any of its texts. Null keys are kept, with no component. Extra
+    the key, links being found from any of its texts. Null keys are kept, with no component. Keys are
+    integers, or texts of integers; other texts stop the job under ANSI rules. A very long text is one
+    set like any other, of 8 bytes a shingle while it is compared. Extra
     columns are ignored; an empty table gives an empty result.
     """
     docs = df.select(df[key].cast("bigint").alias("id"), df[text].alias("text"))
@@ -190,17 +217,18 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, text: str =
     shared = written(buckets.join(centres, "band"), "buckets")
     may = 100 * F.least("n", "low_n") >= percent * F.greatest("n", "low_n")
     tried = written(shared.filter((F.col("rep") != F.col("low")) & may).select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    edges = written(confirmed(tried, docs, size, percent), "links")
+    sets = sets_of(docs, shared.select(F.col("rep").alias("id")), size)
+    edges = written(confirmed(tried, sets, percent), "links")
     comps = components(edges)
 
     # buckets that still hold two components: the pairs across them that nobody has looked at
     now = shared.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = now.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("k")).filter("c1 < c2 AND k > 2").select("band")
     rest = written(now.join(mixed, "band", "left_semi").select("rep", "comp").distinct(), "rest")
-    more = across(rest, docs, size, percent).join(tried, ["a", "b"], "left_anti")
+    more = across(rest, sets, percent).join(tried, ["a", "b"], "left_anti")
     more = written(more, "pairs")
     if not more.isEmpty():
-        extra = written(confirmed(more, docs, size, percent), "links")
+        extra = written(confirmed(more, sets, percent), "links")
         if not extra.isEmpty():
             edges = edges.union(extra)
             comps = components(edges)
