@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from cases import TEXTS, frame
 
@@ -93,3 +94,31 @@ def test_joined_ats_and_long_addresses():
         assert found(f"({text}) ok") == [("email", text)], text
     for text in ("look-at-me", "a dot " * 50_000, "a-at-" * 50_000, "at the state-of-the-art-at-home page"):
         assert found(text) == [], text[:40]
+
+
+def test_a_million_characters_take_seconds():
+    texts = {
+        "plain": "\u0455 " + " ".join(f"user{i}@example{i}.com" for i in range(40_000)),
+        "loose": " ".join(f"user{i} at example{i} dot com" for i in range(30_000)),
+        "spelled": "; ".join("one two three four five six seven eight nine zero" for _ in range(20_000)),
+    }
+    for name, text in texts.items():
+        began = time.perf_counter()
+        spans = pii.find(text)
+        gone = pii.masked(text, [{"kind": k, "start": a, "end": b} for k, a, b, _ in spans])
+        assert time.perf_counter() - began < 10, name
+        assert len(spans) == {"plain": 40_000, "loose": 30_000, "spelled": 20_000}[name]
+        assert gone.count("[") == len(spans) and "@" not in gone
+
+
+def test_added_spans_never_overlap():
+    text = "one two three four five six seven eight nine zero, b\u043eb at example dot com, +49 30 1234567 and eins zwei drei vier fünf sechs sieben acht neun null"
+    spans = pii.find(text)
+    assert [s[0] for s in spans] == ["phone", "email", "phone", "phone"]
+    assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_mask_keeps_nulls_and_overlaps(spark):
+    rows = [(1, "a@b.co and c@d.co"), (2, None), (3, ""), (4, "1.2.3.4@example.com")]
+    got = {r.doc_id: r.text for r in pii.mask(pii.detect(frame(spark, rows))).collect()}
+    assert got == {1: "[EMAIL] and [EMAIL]", 2: None, 3: "", 4: "[EMAIL]"}

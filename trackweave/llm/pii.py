@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -250,6 +252,25 @@ def at_and_dot(t: Traced) -> None:
 _GATE = re.compile(r"[\[({<] ?(?:at|@|ät|arroba|arobase|dot|punkt|punto|point|\.) ?[\])}>]|[ _-]dot[ _-]|[_-]at[_-]| @|@ ", re.I)
 
 
+def merged(ranges: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint ranges that these cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(ranges):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def covered(starts: list[int], ends: list[int], a: int, b: int) -> bool:
+    """Whether a range meets one of the disjoint ones."""
+    at = bisect_right(ends, a)
+    return at < len(starts) and starts[at] < b
+
+
 def find(text: str) -> list[tuple[str, int, int, bool]]:
     """All spans (kind, start, end, base) by start and kind; end is exclusive."""
     spans = [(kind, *s, True) for kind in KINDS for s in FINDERS[kind](text)]
@@ -262,19 +283,35 @@ def find(text: str) -> list[tuple[str, int, int, bool]]:
         marks = [(t.start[a], t.end[b - 1]) for a, b in runs]
         at_and_dot(t)
         if t.changed:
-            got = [(kind, t.start[a], t.end[b - 1]) for kind in KINDS for a, b in FINDERS[kind](t.text)]
-            taken = [s[:3] for s in spans]
-            for a, b in marks:  # ten digits or more that someone took the trouble to spell
-                digits = sum(t.start[i] >= a and t.end[i] <= b and t.text[i].isdigit() for i in range(len(t.text)))
-                if 10 <= digits <= 15:
-                    got.append(("phone", a, b))
-            for kind, a, b in got:
-                if all(b <= x or y <= a for _, x, y in taken):
-                    spans.append((kind, a, b, False))
-                    taken.append((kind, a, b))
+            groups = [[(kind, t.start[a], t.end[b - 1]) for a, b in FINDERS[kind](t.text)] for kind in KINDS]
+            if marks:  # ten digits or more that someone took the trouble to spell
+                digits = list(accumulate(map(str.isdigit, t.text), initial=0))
+                groups.append([("phone", a, b) for a, b in marks if 10 <= digits[bisect_right(t.end, b)] - digits[bisect_left(t.start, a)] <= 15])
+            # plain spans of several kinds may overlap: what they cover, as disjoint ranges by start
+            starts, ends = merged([s[1:3] for s in spans])
+            added: list[tuple[str, int, int]] = []
+            for group in groups:  # earlier ones go first; the spans of one come by start
+                own, free = [], 0
+                for kind, a, b in group:
+                    if a >= free and not covered(starts, ends, a, b):
+                        own.append((kind, a, b))
+                        free = b
+                if own:
+                    added += own
+                    starts, ends = merged([*zip(starts, ends, strict=True), *(x[1:] for x in own)])
+            spans += [(*s, False) for s in added]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def spans_array(found: list[list[tuple[str, int, int, bool]]]) -> pa.Array:
+    """The spans of some texts as an Arrow array of SPANS."""
+    flat = [x for own in found for x in own]
+    kinds, starts, ends, base = zip(*flat, strict=True) if flat else ([], [], [], [])
+    fields = [pa.array(kinds, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(base, pa.bool_())]
+    offsets = pa.array([0, *accumulate(map(len, found))], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, names=["kind", "start", "end", "base"]))
+
+
 def detect(df: DataFrame, text: str = "text", spans: str = "pii_spans") -> DataFrame:
     """df with a column of all spans, in code points, by start and kind.
 
@@ -283,32 +320,42 @@ def detect(df: DataFrame, text: str = "text", spans: str = "pii_spans") -> DataF
     spans never overlap plain ones. Time is linear in the length of a text.
     """
 
-    @F.pandas_udf(SPANS)
-    def spans_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(SPANS)
+    def spans_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([[{"kind": k, "start": a, "end": b, "base": base} for k, a, b, base in find(x or "")] for x in texts])
+            parts = [spans_array([find(x or "") for x in texts.slice(a, b - a).to_pylist()]) for a, b in slices(texts)]
+            yield pa.concat_arrays(parts) if parts else spans_array([])
 
     return df.withColumn(spans, spans_of(F.col(text)))
 
 
+def masked(text: str, spans: list[dict]) -> str:
+    """The text with [KIND] in place of each span (by start), in one pass."""
+    out, at = [], 0
+    for x in spans:
+        if x["start"] >= at:
+            out += [text[at : x["start"]], "[", x["kind"].upper(), "]"]
+        at = max(at, x["end"])
+    return "".join([*out, text[at:]])
+
+
 def mask(df: DataFrame, text: str = "text", spans: str = "pii_spans") -> DataFrame:
     """df with each span of its text replaced by [KIND]; the spans column goes.
 
     Where spans of two kinds overlap, the earlier one is replaced and the other one's rest with it.
+    Null texts stay null. Time is linear in the length of a text.
     """
-    start = F.lit(1).cast("bigint")
-    state = F.aggregate(
-        F.col(spans),
-        F.struct(F.lit("").alias("done"), start.alias("at")),
-        lambda s, x: F.struct(
-            F.when(x["start"] + 1 < s["at"], s["done"])
-            .otherwise(F.concat(s["done"], F.substring(F.col(text), s["at"].cast("int"), (x["start"] + 1 - s["at"]).cast("int")), F.lit("["), F.upper(x["kind"]), F.lit("]")))
-            .alias("done"),
-            F.greatest(s["at"], x["end"] + 1).alias("at"),
-        ),
-    )
-    tail = F.transform(F.array(state), lambda s: F.concat(s["done"], F.substring(F.col(text), s["at"].cast("int"), F.lit(2**31 - 1))))
-    return df.withColumn(text, F.when(F.size(spans) > 0, F.element_at(tail, 1)).otherwise(F.col(text))).drop(spans)
+
+    @F.arrow_udf("string")
+    def rewritten(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, found in batches:
+            parts = []
+            for a, b in slices(texts):
+                own = zip(texts.slice(a, b - a).to_pylist(), found.slice(a, b - a).to_pylist(), strict=True)
+                parts.append(pa.array([masked(t, s) if t and s else t for t, s in own], pa.string()))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    return df.withColumn(text, rewritten(F.col(text), F.col(spans))).drop(spans)
 
 
 def joined(spans: Column) -> Column:
