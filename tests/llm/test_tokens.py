@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import random
+import time
 import zlib
 
 import numpy as np
@@ -95,3 +97,19 @@ def test_segment_access():
     assert [seg.access(i) for i in range(0, len(ids), 13)] == ids[::13].tolist()
     with pytest.raises(IndexError):
         seg.access(len(ids))
+
+
+def test_long_words_are_counted_as_the_library_does():
+    rng = random.Random(5)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, counter = Tokenizer.from_file(path), token_counts.Counter(path)
+    words = ["a" * n for n in (191, 192, 193, 194, 1001)] + ["ab" * 300, "\u00e9" * 300, "\u4f60" * 200, "!" * 500]
+    words += ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "etaoinhsr", "abcdefghijklmnopqrstuvwxyz") for n in (200, 1000, 20_000)]
+    assert counter.count(words) == [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+
+
+def test_a_million_letters_take_seconds():
+    word = "".join(random.Random(6).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    began = time.perf_counter()
+    assert token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json")).count([word])[0] > 300_000
+    assert time.perf_counter() - began < 10

@@ -3,10 +3,15 @@
 Batched pre-tokens are held as one ragged numpy array of symbol ids. In each round every
 sequence finds its lowest-ranked adjacent pair and all sequences apply theirs at once; finished
 sequences leave the array with the number of symbols that survived.
+
+A sequence of more than LONG bytes would be gone over once for each of its many ranks, so long ones
+wait in queues by rank: the lowest queue of all is merged at once, and only the merged places and
+their neighbours are looked at again.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +26,8 @@ from trackweave.llm.common import slices, table
 
 NO_RANK = np.int64(1 << 40)
 SLOT_BITS = 19
+#: Sequences of more bytes are merged through queues by rank.
+LONG = 192
 
 
 class PairTable:
@@ -70,6 +77,12 @@ def merge_ragged(tokens: list[bytes], pairs: PairTable) -> np.ndarray:
     out = np.zeros(len(tokens), np.int64)
     if not tokens:
         return out
+    long = [i for i, t in enumerate(tokens) if len(t) > LONG]
+    if long:
+        rest = [i for i, t in enumerate(tokens) if len(t) <= LONG]
+        out[long] = merge_queued([tokens[i] for i in long], pairs)
+        out[rest] = merge_ragged([tokens[i] for i in rest], pairs)
+        return out
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     symbols = pairs.of_byte[np.frombuffer(b"".join(tokens), np.uint8)]
     names = np.arange(len(tokens))
@@ -99,6 +112,57 @@ def merge_ragged(tokens: list[bytes], pairs: PairTable) -> np.ndarray:
     return out
 
 
+def merge_queued(tokens: list[bytes], pairs: PairTable) -> np.ndarray:
+    """As merge_ragged; in time that grows with merges, not with places times ranks."""
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    n = int(lengths.sum())
+    ends = np.cumsum(lengths)
+    symbols = np.append(pairs.of_byte[np.frombuffer(b"".join(tokens), np.uint8)], 0)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after[ends - 1] = n  # n stands for no neighbour
+    before[ends - lengths] = n
+    rank = np.full(n + 1, NO_RANK)
+    alive = np.ones(n + 1, bool)
+    queues: dict[int, list[np.ndarray]] = {}
+    ready: list[int] = []
+
+    def look(at: np.ndarray) -> None:
+        """Rank the pairs that begin at these places, and queue them."""
+        right = after[at]
+        got = np.where(right < n, pairs.ranks(symbols[at], symbols[right]), NO_RANK)
+        rank[at] = got
+        at, got = at[got < NO_RANK], got[got < NO_RANK]
+        order = np.argsort(got, kind="stable")
+        at, got = at[order], got[order]
+        first = np.flatnonzero(np.diff(got, prepend=-1))
+        for r, own in zip(got[first].tolist(), np.split(at, first[1:]) if len(first) else [], strict=True):
+            if r not in queues:
+                queues[r] = []
+                heapq.heappush(ready, r)
+            queues[r].append(own)
+
+    look(np.arange(n))
+    while ready:
+        r = heapq.heappop(ready)
+        at = np.unique(np.concatenate(queues.pop(r)))
+        at = at[alive[at] & (rank[at] == r)]
+        if not len(at):
+            continue
+        # in a run of overlapping pairs every second one merges, from the left
+        follows = np.concatenate(([False], after[at[:-1]] == at[1:]))
+        first = np.maximum.accumulate(np.where(follows, 0, np.arange(len(at))))
+        at = at[(np.arange(len(at)) - first) % 2 == 0]
+        gone = after[at]
+        symbols[at] = pairs.made[r]
+        alive[gone] = False
+        rank[gone] = NO_RANK
+        after[at] = after[gone]
+        before[after[at]] = at  # the entry of n takes any value
+        left = before[at]
+        look(np.unique(np.concatenate((at, left[left < n]))))
+    return np.add.reduceat(alive[:n].astype(np.int64), ends - lengths)
+
+
 @lru_cache(maxsize=4)
 def _pairs(path: str) -> PairTable:
     return PairTable(path)
@@ -150,7 +214,8 @@ def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", key: str = "
     tokenizer: path of a byte-level BPE file in the tokenizers format, without normaliser.
     Null text counts as empty: 0 bytes, 0 tokens. Null keys and repeated rows are kept as they
     are; other columns are ignored; an empty table gives an empty result. Special strings inside
-    a text count as one token each, as the library treats them by default.
+    a text count as one token each, as the library treats them by default. Very long texts and words
+    take time in proportion to their merges.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
