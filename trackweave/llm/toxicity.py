@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackweave.llm import gru
 from trackweave.llm.common import remainder, slices, table
@@ -34,6 +35,7 @@ from trackweave.llm.ragged import U, mix
 
 WINDOW, STEP = 32, 16
 #: Bounds of what the network learns from: labelled documents, a third of them toxic, whole, and their characters.
+#: Documents that do not fit into what is left of the characters are passed over, those after them are not.
 SAMPLE, SAMPLE_CHARS = 4000, 12_000_000
 HIDDEN, UNIT_DIM = 8, 8
 #: Units are known by SLOT_BITS bits of their hash; only the slots of frequent units have vectors.
@@ -372,22 +374,42 @@ class Scorer:
         return self.net.probability(self.net.documents(self.table, ids, doc, len(texts)))
 
 
+def fitting(rows: list[tuple], chars: int) -> list[tuple]:
+    """The (id, label) of rows (id, label, length) that fit into chars, toxic and others in turn by their order."""
+    sides = [[r for r in rows if r[1] == k] for k in (1, 0)]
+    ahead = sorted(((i + 0.5) / len(side), k, r) for k, side in enumerate(sides) for i, r in enumerate(side))
+    out = []
+    for _, _, (name, label, length) in ahead:
+        if length <= chars:
+            chars -= length
+            out.append((name, label))
+    return out
+
+
+def df_of(docs: DataFrame, chosen: list[tuple]) -> DataFrame:
+    return docs.sparkSession.createDataFrame(chosen, T.StructType([docs.schema["id"], T.StructField("label", T.IntegerType())]))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
     """Weights learnt from docs(id, text) and labels(id, label); at most `sample` documents, a third toxic.
 
     A hash of the id picks, so that a repeated run learns the same. Of several labels of an id the
-    highest counts; null ids and labels teach nothing. Without labelled documents every text gets
-    one low score.
+    highest counts, of several texts the least; null ids and labels teach nothing. Without labelled
+    documents every text gets one low score. Lengths alone decide what fits into SAMPLE_CHARS, before any
+    text moves, so a very long labelled text costs its own place and no other's.
     """
     known = labels.filter("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max(F.col("label").cast("int")).alias("label"))
     order = [F.xxhash64("id"), F.col("id")]
     toxic, other = (known.filter(F.col("label") == k).orderBy(*order).limit(n) for k, n in ((1, sample // 3), (0, sample - sample // 3)))
-    # at most `sample` rows of two numbers, so the documents stay where they are
-    drawn = docs.select("id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(toxic.union(other)), "id")
+    # at most `sample` rows of a few numbers, so the documents stay where they are
+    whole = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
+    long = whole.join(F.broadcast(toxic.union(other)), "id").groupBy("id", "label").agg(F.max(F.char_length("text")).alias("n"))
+    chosen = fitting([tuple(r) for r in long.orderBy(*order).collect()], SAMPLE_CHARS)
+    chosen = df_of(docs, chosen)
+    drawn = whole.join(F.broadcast(chosen), "id")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("id").sample(frac=1, random_state=np.random.RandomState(0)) if len(rows) else rows
-        rows = rows[rows["text"].str.len().cumsum() <= SAMPLE_CHARS]
         return pd.DataFrame({"weights": [gru.pack(fit(rows["text"].tolist(), rows["label"].to_numpy(np.float64)))]})
 
     drawn = drawn.groupBy("id", "label").agg(F.min("text").alias("text"))  # one text for a repeated id
@@ -398,8 +420,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
 def score(df: DataFrame, weights: bytes, text: str = "text", out: str = "score") -> DataFrame:
     """df with a score from 0 to 1 in a new column (a column of that name is replaced).
 
-    Null and empty texts are scored as one window without words. All rows, null keys, ties and
-    repeated rows stay; an empty table stays empty. Only the text decides.
+    Null and empty texts are scored as one window without words, very long ones in all their windows.
+    All rows, null keys, ties and repeated rows stay; an empty table stays empty. Only the text decides.
     """
 
     @F.arrow_udf("double")
@@ -420,11 +442,14 @@ def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> bytes:
 
 def reject(df: DataFrame, weights: bytes, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """The rows of df that score below the threshold, with their columns as they were."""
-    return score(df, weights, text, "__toxicity").filter(F.col("__toxicity") < threshold).drop("__toxicity")
+    name = "__toxicity"
+    while name in df.columns:
+        name += "_"
+    return score(df, weights, text, name).filter(F.col(name) < threshold).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: every document scored; labels of two thirds of the ids are used."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs.select("doc_id", "text"), trained(spark, docs, sf_dir))
-    return scored.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
