@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +16,8 @@ from trackweave.storage import shared_dir, written  # noqa: F401
 
 #: Bytes of text that one inner step of a Python task works on at a time.
 SLICE_BYTES = 4 << 20
+#: Bytes of text after which a task gives freed memory back.
+GIVEN_BACK = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,19 +34,36 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(doc_id.cast("string")) % divisor
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: workers live on through many stages beside a grown heap."""
+    gc.collect(0)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of a string or binary column with about limit bytes each."""
+    """Row ranges of a string or binary column with about limit bytes each.
+
+    After each column, and after so many bytes inside one, what was freed is given back.
+    """
     n, start = len(column), 0
     if not n:
         return
     sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    total = 0
+    total = done = 0
     for i in range(n):
         if i > start and total + sizes[i] > limit:
             yield start, i
+            done += total
+            if done >= GIVEN_BACK:
+                give_back()
+                done = 0
             start, total = i, 0
         total += int(sizes[i])
     yield start, n
+    give_back()
 
 
 def as_bytes(column: pa.Array) -> pa.Array:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackweave.llm import gru
-from trackweave.llm.common import remainder, slices, table
+from trackweave.llm.common import give_back, remainder, slices, table
 from trackweave.llm.gru import F32
 from trackweave.llm.ragged import U, mix
 
@@ -410,7 +410,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("id").sample(frac=1, random_state=np.random.RandomState(0)) if len(rows) else rows
-        return pd.DataFrame({"weights": [gru.pack(fit(rows["text"].tolist(), rows["label"].to_numpy(np.float64)))]})
+        weights = gru.pack(fit(rows["text"].tolist(), rows["label"].to_numpy(np.float64)))
+        give_back()
+        return pd.DataFrame({"weights": [weights]})
 
     drawn = drawn.groupBy("id", "label").agg(F.min("text").alias("text"))  # one text for a repeated id
     found = drawn.groupBy(F.lit(1).alias("one")).applyInPandas(lambda rows: run(rows.sort_values("id")), "weights binary").collect()
