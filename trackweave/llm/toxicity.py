@@ -409,13 +409,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
     drawn = whole.join(F.broadcast(chosen), "id")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("id").sample(frac=1, random_state=np.random.RandomState(0)) if len(rows) else rows
-        weights = gru.pack(fit(rows["text"].tolist(), rows["label"].to_numpy(np.float64)))
+        texts = pd.Series(rows["text"].tolist(), rows["id"]).sort_index()
+        found = rows.set_index("id")["label"].astype("float64").reindex(texts.index)
+        order = np.random.RandomState(0).permutation(len(texts))
+        del rows
+        weights = gru.pack(fit(texts.to_numpy()[order].tolist(), found.to_numpy()[order]))
         give_back()
         return pd.DataFrame({"weights": [weights]})
 
     drawn = drawn.groupBy("id", "label").agg(F.min("text").alias("text"))  # one text for a repeated id
-    found = drawn.groupBy(F.lit(1).alias("one")).applyInPandas(lambda rows: run(rows.sort_values("id")), "weights binary").collect()
+    found = drawn.groupBy(F.lit(1).alias("one")).applyInPandas(run, "weights binary").collect()
     return bytes(found[0].weights) if found else gru.pack(Network.fresh({n: np.zeros(0, np.int64) for n in TABLES}).p | {"head": np.array([-5.0, 1.0, 0.0])})
 
 
