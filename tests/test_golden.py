@@ -228,3 +228,25 @@ def test_streams(spark, tmp_path):
     assert got == [(1, 0, "A", 7.0, 3), (1, 1, None, 24.0, 2)]
     static = spark.read.schema(kind).parquet(src)
     assert {r.route_id: r.distance for r in live.totals(static).collect()} == {1: 63.0, 2: 1.0}
+
+
+def test_multi_lines_keep_all_vertices(spark, tmp_path):
+    geometry_of = lambda kind, c: {"type": "Feature", "geometry": {"type": kind, "coordinates": c}, "properties": {"surfaceSmoothness": "UNKNOWN", "distance": 1}}
+    features = [geometry_of("MultiLineString", [[[14.1, 50.1], [14.2, 50.2]], [[14.3, 50.3]]]), geometry_of("LineString", [[14.4, 50.4], [14.5, 50.5]]), geometry_of("Point", [1, 2]), geometry_of("LineString", [])]
+    document = {"id": "r", "routes": [{"id": 1, "geoJson": {"type": "FeatureCollection", "features": features}}]}
+    (tmp_path / "r.json").write_text(json.dumps(document))
+    responses = documents.responses(spark, f"file://{tmp_path}/r.json")
+    segments = routes.segments_table(responses)
+    line = geometry.flattened(segments).first().coordinates
+    assert line == [[14.1, 50.1], [14.2, 50.2], [14.3, 50.3], [14.4, 50.4], [14.5, 50.5]]
+    kept = routes.route_rows(responses).select(F.size(routes.line_features(F.col("route.geoJson.features"))).alias("n")).first().n
+    assert kept == 2
+    gpx = exports.gpx_documents(geometry.vertices(segments).withColumn("name", F.lit("n")), ["seg_idx", "vertex_idx"]).first().document
+    assert gpx.count("<trkpt") == 5
+    app = json.loads(responses.select(F.to_json("routes")).first()[0])
+    assert app[0]["geoJson"]["features"][0]["geometry"]["coordinates"] == features[0]["geometry"]["coordinates"]
+
+
+def test_collection_or_null(spark):
+    rows = spark.createDataFrame([((["f"],),), ((None,),), (None,)], "d struct<features: array<string>>")
+    assert [r[0] is not None for r in rows.select(routes.collection_or_null(F.col("d"))).collect()] == [True, False, False]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trackweave.functions.geo import lines
+
 
 def is_hex_color(text: Column) -> Column:
     return F.coalesce(text.rlike("(?i)^#[0-9A-F]{6}$"), F.lit(False))
@@ -38,5 +40,5 @@ def is_visible(flag: Column) -> Column:
 
 
 def is_line(geometry: Column) -> Column:
-    """A line geometry with coordinates."""
-    return F.coalesce(geometry["type"].isin("LineString", "MultiLineString") & (F.size(geometry["coordinates"]) > 0), F.lit(False))
+    """A line or multi-line geometry (variant coordinates) with vertices."""
+    return F.coalesce(F.size(lines(geometry["type"], geometry["coordinates"])) > 0, F.lit(False))

@@ -21,6 +21,13 @@ def lerp(a: Column, b: Column, share: Column) -> Column:
     return a + (b - a) * share
 
 
+def lines(geometry_type: Column, coordinates: Column) -> Column:
+    """Vertices of a LineString or, line after line, of a MultiLineString, from variant coordinates; else null."""
+    single = F.try_variant_get(coordinates, "$", "array<array<double>>")
+    several = F.flatten(F.try_variant_get(coordinates, "$", "array<array<array<double>>>"))
+    return F.when(geometry_type == "LineString", single).when(geometry_type == "MultiLineString", several)
+
+
 def pairs(coordinates: Column) -> Column:
     """Neighbouring vertices of one line, as structs from and to."""
     n = F.size(coordinates)

@@ -6,9 +6,11 @@ is written again, as in an insertion-ordered map.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackweave.operators.ordered import with_running_sum
+
 
 def latest(changes: DataFrame, key: str = "id", seq: str = "ord") -> DataFrame:
     """One row a key: that of the last change, at the place of the first one.
@@ -66,9 +68,20 @@ def concatenated(*tables: DataFrame, ord: str = "ord") -> DataFrame:
     return out
 
 
-def renumbered(table: DataFrame, by: list[str], order: list[str], name: str = "number", start: int = 1) -> DataFrame:
-    """table with `name` counting from start in order within each group of `by`."""
-    return table.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1 + start)
+def renumbered(table: DataFrame, by: list[str], order: list[str], name: str = "number", start: int = 1, bucket: str | None = None) -> DataFrame:
+    """table with `name` counting from start in order within each group of `by`; a bucket spreads a hot group."""
+    numbered = with_running_sum(table, by, order, F.lit(1).cast("bigint"), name, bucket)
+    return numbered.withColumn(name, F.col(name) - 1 + start)
+
+
+def next_number(table: DataFrame, by: list[str], name: str = "next") -> DataFrame:
+    """(by, name): the number that a row added to each group gets."""
+    return table.groupBy(*by).agg((F.count("*") + 1).alias(name))
+
+
+def replaced(table: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
+    """table with all rows of new's groups replaced by those of new; groups that new lacks stay."""
+    return table.join(new.select(*by).distinct(), by, "left_anti").select(*table.columns).unionByName(new)
 
 
 def set_field(table: DataFrame, where: Column, field: str, value: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.operators.runs import in_order
@@ -19,20 +19,21 @@ def vertices(features: DataFrame) -> DataFrame:
     return each.select("route_id", "seg_idx", "vertex_idx", F.get("c", F.lit(0)).alias("lon"), F.get("c", F.lit(1)).alias("lat"))
 
 
-def lines(geometry_type: Column, coordinates_json: Column) -> Column:
-    """Vertices of a LineString or, line after line, of a MultiLineString, from its JSON text; else null."""
-    single = F.from_json(coordinates_json, "array<array<double>>")
-    several = F.flatten(F.from_json(coordinates_json, "array<array<array<double>>>"))
-    return F.when(geometry_type == "LineString", single).when(geometry_type == "MultiLineString", several)
-
-
 def flattened(features: DataFrame) -> DataFrame:
     """(route_id, coordinates): all vertices of a route as one value. For exports of single routes."""
     return features.filter(F.size("coordinates") > 0).groupBy("route_id").agg(F.flatten(in_order(F.col("coordinates"), ["seg_idx"])).alias("coordinates"))
 
 
+def ends(points: DataFrame, order: list[str], circular: bool = False) -> DataFrame:
+    """(route_id, origin, destination, n_via): as first_last_via, without gathering a route's points."""
+    point, at = F.struct("lat", "lon"), F.struct(*order)
+    first, last, n = F.min_by(point, at), F.max_by(point, at), F.count("*")
+    via = n - 1 if circular else F.greatest(n - 2, F.lit(0))
+    return points.groupBy("route_id").agg(first.alias("origin"), (first if circular else last).alias("destination"), via.alias("n_via"))
+
+
 def first_last_via(points: DataFrame, order: list[str], circular: bool = False) -> DataFrame:
-    """(route_id, origin, destination, via): ends of a route's waypoints and what is between.
+    """(route_id, origin, destination, via): ends of a route's waypoints and what is between, for requests of few stops.
 
     A circular route ends where it starts, so all but the first point are on the way.
     """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackweave.functions import keys, text
 from trackweave.functions.checks import has_routes, is_line
+from trackweave.functions.geo import lines
 from trackweave.operators.collections import overlay_struct
 from trackweave.schemas import EXTRA_NUMBERS
 from trackweave.sources.dimensions import DEFAULT_SETTINGS, SETTINGS_NAMES, default_settings
@@ -70,7 +71,7 @@ def via_table(responses: DataFrame) -> DataFrame:
 def segments(features: DataFrame) -> DataFrame:
     """features(route_id, features) to a row each: (route_id, seg_idx, the properties, surface, coordinates)."""
     rows = features.select("route_id", F.posexplode("features").alias("seg_idx", "f"))
-    return rows.select("route_id", "seg_idx", "f.properties.*", F.col("f.properties.surfaceSmoothness").alias("surface"), "f.geometry.coordinates")
+    return rows.select("route_id", "seg_idx", "f.properties.*", F.col("f.properties.surfaceSmoothness").alias("surface"), lines(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("coordinates"))
 
 
 def segments_table(responses: DataFrame) -> DataFrame:
@@ -79,6 +80,22 @@ def segments_table(responses: DataFrame) -> DataFrame:
     return segments(rows)
 
 
+def collection_or_null(document: Column) -> Column:
+    """A collection as it is if it has features, else null."""
+    return F.when(document["features"].isNotNull(), document)
+
+
+def points_of(waypoints: Column) -> Column:
+    """Waypoints (id, lng, lat) as points (lat, lon) of a request; ids go."""
+    return F.transform(waypoints, lambda w: F.struct(w["lat"].alias("lat"), w["lng"].alias("lon")))
+
+
+def reloaded(tracks: DataFrame) -> DataFrame:
+    """(id, ord, lng, lat) of the waypoints of saved tracks, to be added again under new ids; ord counts from 0."""
+    rows = tracks.select("id", F.posexplode("waypoints").alias("ord", "w"))
+    return rows.select("id", "ord", "w.lng", "w.lat")
+
+
 def line_features(features: Column) -> Column:
     return F.filter(features, lambda f: is_line(f["geometry"]))
 

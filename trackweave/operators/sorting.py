@@ -67,5 +67,5 @@ def positions(df: DataFrame, order: list[Column], name: str = "pos") -> DataFram
         before[part], total = total, total + n
     if not before:
         return placed.select(*df.columns, F.lit(0).cast("bigint").alias(name))
-    offset = F.create_map(*(F.lit(x).cast("bigint") for kv in before.items() for x in kv))[F.col("__part").cast("bigint")]
+    offset = F.get(F.lit([before.get(i, 0) for i in range(max(before) + 1)]).cast("array<bigint>"), F.col("__part"))
     return placed.select(*df.columns, (offset + F.col("__at") + 1).alias(name))

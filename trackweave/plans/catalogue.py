@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from trackweave.functions import checks, geo, keys, text
 from trackweave.operators import collections as coll
 from trackweave.operators import distance, geometry, routes, runs, sorting, statistics, symbols
-from trackweave.operators.ordered import with_previous
 from trackweave.sinks import exports
-from trackweave.sources.dimensions import built_in_profiles, with_surface
+from trackweave.sources.dimensions import BIKE_TYPES, built_in_profiles, with_bike_type, with_surface
 from trackweave.sources.documents import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -292,17 +291,67 @@ def default_or_first(spark, sf_dir):
     return coll.default_or_first(c, ["c_nationkey"], is_default, ["c_custkey"]).select("c_nationkey", "c_custkey", "c_name")
 
 
-@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS number FROM events WHERE event_id % 4 <> 0")
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS number FROM events")
 def renumber_waypoints(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id % 4 <> 0")
-    return coll.renumbered(e, ["user_id"], ORDER).select("event_id", F.col("number").cast("bigint").alias("number"))
+    e = table(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts"))
+    return coll.renumbered(e, ["user_id"], ORDER, bucket="day").select("event_id", "number")
+
+
+@query("SELECT user_id, count(*) + 1 AS next FROM events GROUP BY user_id")
+def next_waypoint(spark, sf_dir):
+    return coll.next_number(table(spark, sf_dir, "events"), ["user_id"])
+
+
+@query("SELECT user_id, ts, event_id FROM events WHERE user_id NOT IN (SELECT DISTINCT user_id FROM events WHERE event_id % 50 = 0) UNION ALL SELECT user_id, ts, -event_id FROM events WHERE event_id % 50 = 0")
+def replace_waypoints(spark, sf_dir):
+    """Waypoints of some users are cleared and set anew, by those that these users' new rows hold."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    return coll.replaced(e, e.filter("event_id % 50 = 0").withColumn("event_id", -F.col("event_id")), ["user_id"])
+
+
+@query("SELECT label AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS ord, CAST(vec_id AS DOUBLE) AS lng, CAST(-vec_id AS DOUBLE) AS lat FROM embeddings")
+def reload_waypoints(spark, sf_dir):
+    """Waypoints of saved tracks without their ids, in order."""
+    w = F.struct(F.col("vec_id").alias("id"), F.col("vec_id").cast("double").alias("lng"), (-F.col("vec_id")).cast("double").alias("lat"))
+    saved = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("id")).agg(F.array_sort(F.collect_list(w)).alias("waypoints"))
+    return routes.reloaded(saved).withColumn("ord", F.col("ord").cast("bigint"))
+
+
+@query("SELECT vec_id, CAST(vec_id AS DOUBLE) AS lat, CAST(label AS DOUBLE) AS lon FROM embeddings")
+def request_points(spark, sf_dir):
+    w = F.struct(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("double").alias("lng"), F.col("vec_id").cast("double").alias("lat"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.explode(routes.points_of(F.array(w))).alias("p")).select("vec_id", "p.lat", "p.lon")
+
+
+@query(
+    "WITH b(i, code, label) AS (VALUES " + ", ".join(f"({i}, '{c}', '{n}')" for i, (c, n) in enumerate(BIKE_TYPES.items())) + ") SELECT c_custkey, coalesce(code, 'NONE') AS bikeType, coalesce(label, 'NONE') AS bike_label FROM customer LEFT JOIN b ON c_custkey % 25 = i"
+)
+def bike_labels(spark, sf_dir):
+    codes = F.array(*(F.lit(c) for c in BIKE_TYPES))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.coalesce(F.get(codes, (F.col("c_custkey") % 25).cast("int")), F.lit("NONE")).alias("bikeType"))
+    return with_bike_type(c, spark).select("c_custkey", "bikeType", "bike_label")
+
+
+@query(
+    """WITH l AS (SELECT vec_id, label, unnest(range(CASE WHEN vec_id % 3 = 0 THEN 3 WHEN vec_id % 3 = 1 THEN 2 ELSE 0 END)) AS vertex_idx FROM embeddings)
+SELECT vec_id AS seg_idx, CAST(vertex_idx AS INT) AS vertex_idx, CAST(vec_id + vertex_idx AS DOUBLE) AS lon, CAST(label AS DOUBLE) AS lat FROM l"""
+)
+def line_vertices(spark, sf_dir):
+    """Vertices of lines, of multi-lines (one line after the other), and of points, which have none."""
+    k, at = F.col("vec_id") % 3, lambda i: F.format_string("[%d,%d]", F.col("vec_id") + i, F.col("label"))
+    kind = F.when(k == 0, "MultiLineString").when(k == 1, "LineString").otherwise("Point")
+    coordinates = F.when(k == 0, F.concat(F.lit("[["), at(0), F.lit(","), at(1), F.lit("],["), at(2), F.lit("]]"))).when(k == 1, F.concat(F.lit("["), at(0), F.lit(","), at(1), F.lit("]"))).otherwise(at(0))
+    geometry_ = F.struct(kind.alias("type"), F.parse_json(coordinates).alias("coordinates"))
+    feature = F.struct(geometry_.alias("geometry"), F.struct(F.lit("UNKNOWN").alias("surfaceSmoothness")).alias("properties"))
+    rows = routes.segments(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("route_id"), F.array(feature).alias("features")))
+    return geometry.vertices(rows).select(F.col("route_id").alias("seg_idx"), "vertex_idx", "lon", "lat")
 
 
 @query("SELECT user_id, min_by(event_id, ts) AS origin, max_by(event_id, ts) AS destination, greatest(count(*) - 2, 0) AS n_via FROM events GROUP BY user_id")
 def origin_dest_via(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("route_id"), "ts", F.col("event_id").alias("lat"), F.lit(0).alias("lon"))
-    out = geometry.first_last_via(e, ["ts"])
-    return out.select(F.col("route_id").alias("user_id"), F.col("origin.lat").alias("origin"), F.col("destination.lat").alias("destination"), F.size("via").cast("bigint").alias("n_via"))
+    out = geometry.ends(e, ["ts"])
+    return out.select(F.col("route_id").alias("user_id"), F.col("origin.lat").alias("origin"), F.col("destination.lat").alias("destination"), "n_via")
 
 
 @query("SELECT user_id, CASE WHEN user_id % 4 = 0 THEN 'Route ' || (user_id + 1) ELSE array_to_string(list_sort(list(DISTINCT event_type)), ', ') END AS name FROM events GROUP BY user_id")
@@ -318,11 +367,10 @@ def color_hash(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", keys.hash_slot(key).alias("slot"), keys.color_or_hash(F.lit(""), key).alias("color"), keys.route_color(F.col("o_orderkey")).alias("route_color"))
 
 
-@query("SELECT doc_id, regexp_replace(lower(trim(left(coalesce(text, ''), 60))), '[ \\t\\n\\r\\f\\v]+', '-', 'g') AS slug FROM documents")
+@query("SELECT p_partkey, regexp_replace(p_name, '[ \\t\\n\\r\\f\\v]+', '-', 'g') AS slug FROM part")
 def slug_names(spark, sf_dir):
-    """File names from titles; a document's first 60 characters are its title."""
-    title = F.lower(F.trim(F.left(F.coalesce("text", F.lit("")), F.lit(60))))
-    return table(spark, sf_dir, "documents").select("doc_id", text.slug(title).alias("slug"))
+    """File names from whole names."""
+    return table(spark, sf_dir, "part").select("p_partkey", text.slug(F.col("p_name")).alias("slug"))
 
 
 @query(
@@ -372,9 +420,7 @@ WEIGHED = "g AS (SELECT l_orderkey AS route_id, floor(l_discount * 40 + 0.5) + 1
 
 @query(f"WITH {WEIGHED} SELECT route_id, round(100 * sum(CASE WHEN abs(slope) > 6 THEN distance ELSE 0 END) / sum(distance), 6) AS steep, round(sum(slope * distance) / sum(distance), 6) AS slope, round(100 * sum(CASE WHEN stress >= 4 THEN distance ELSE 0 END) / sum(distance), 6) AS traffic, round(100 * sum(CASE WHEN surface LIKE 'UNPAVED%' OR surface = 'PAVED_BAD' THEN distance ELSE 0 END) / sum(distance), 6) AS rough FROM g GROUP BY route_id")
 def route_statistics(spark, sf_dir):
-    g = weighed(spark, sf_dir)
-    out = statistics.steep_share(g).withColumnRenamed("pct", "steep").join(statistics.mean_slope(g), "route_id")
-    out = out.join(statistics.high_traffic_share(g).withColumnRenamed("pct", "traffic"), "route_id").join(statistics.rough_share(g).withColumnRenamed("pct", "rough"), "route_id")
+    out = statistics.summary(weighed(spark, sf_dir))
     return out.select("route_id", *(F.round(c, 6).alias(c) for c in ("steep", "slope", "traffic", "rough")))
 
 
@@ -382,10 +428,7 @@ def route_statistics(spark, sf_dir):
 def climbs(spark, sf_dir):
     """Rises and falls of the value along a user's events, by day so that a hot user spreads."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("route_id"), "ts", "event_id", F.col("value").cast("decimal(12,2)").alias("elevation"), F.date_trunc("day", "ts").alias("day"))
-    rows = with_previous(e, ["route_id"], ORDER, F.col("elevation"), "p", "day").select("route_id", (F.col("elevation") - F.col("p.value")).alias("d"))
-    zero = F.lit(0).cast("decimal(12,2)")
-    part = lambda c, n: F.coalesce(F.sum(F.when(F.col("d").isNotNull(), F.greatest(c, zero))).cast("double"), F.lit(0.0)).alias(n)
-    return rows.groupBy("route_id").agg(part(F.col("d"), "gain"), part(-F.col("d"), "loss"))
+    return statistics.climbs(e, ORDER, "day")
 
 
 @query("SELECT o_custkey AS response_id, o_orderkey AS route_idx, l_linenumber AS leg_idx, CAST(sum(l_partkey) AS DOUBLE) AS distanceMeters, CAST(sum(l_suppkey) AS DOUBLE) AS durationSeconds FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ROLLUP (o_custkey, o_orderkey, l_linenumber) HAVING o_custkey IS NOT NULL")
@@ -403,8 +446,10 @@ def gpx_document(spark, sf_dir):
 
 @query()
 def geojson_collection(spark, sf_dir):
-    rows = runs.surface_runs(segments(spark, sf_dir), ORDER, "day")
-    f = exports.feature("LineString", F.array().cast("array<array<double>>"), F.struct("surface", F.col("distance").cast("double").alias("distance")))
+    """Each run of a surface as a line through its events, whose ids and numbers of k stand for places."""
+    e = segments(spark, sf_dir).withColumn("coordinates", F.array(F.array((F.col("event_id") % 180).cast("double"), (F.col("event_id") % 90).cast("double"))))
+    rows = runs.surface_runs(e, ORDER, "day").join(runs.run_coordinates(e, ORDER, "day"), ["route_id", "run_id"])
+    f = exports.feature("LineString", F.col("coordinates"), F.struct("surface", F.col("distance").cast("double").alias("distance")))
     return exports.collections_of(rows.withColumn("feature", f), "feature", ["run_id"])
 
 

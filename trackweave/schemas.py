@@ -1,4 +1,8 @@
-"""Explicit schemas of the documents. Numbers are doubles: the contract never promises integers."""
+"""Explicit schemas of the documents. Numbers are doubles: the contract never promises integers.
+
+A geometry's coordinates are a variant, as a line nests them two deep and a multi-line three deep.
+Fixed values: all field names, which the documents give.
+"""
 
 from __future__ import annotations
 
@@ -30,7 +34,7 @@ INSTRUCTION = "struct<manoeuvre: string, streetName: string, htmlInstruction: st
 STEP = f"struct<start: {WARNED}, end: {ELEVATED}, via: array<{WARNED}>, distanceMeters: double, durationSeconds: double, instruction: {INSTRUCTION}>"
 LEG = f"struct<id: double, mode: string, start: {ELEVATED}, end: {ELEVATED}, stats: {_numbers(LEG_STATS)}, steps: array<{STEP}>>"
 PROPERTIES = "struct<mode: string, stress: double, slope: double, distance: double, popularity: double, surfaceSmoothness: string, water: double, greenery: double, settingsMatch: boolean>"
-FEATURE = f"struct<type: string, geometry: struct<type: string, coordinates: array<array<double>>>, properties: {PROPERTIES}>"
+FEATURE = f"struct<type: string, geometry: struct<type: string, coordinates: variant>, properties: {PROPERTIES}>"
 COLLECTION = f"struct<type: string, features: array<{FEATURE}>>"
 #: Six of these are numbers written as text.
 EXTRAS = (

@@ -55,6 +55,12 @@ def built_in_profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], f"{PROFILE}, ord bigint")
 
 
+def with_bike_type(df: DataFrame, spark: SparkSession, code: str = "bikeType") -> DataFrame:
+    """df with bike_label: the label of its bike code, or the code itself where there is none."""
+    dim = bike_types(spark).toDF("__code", "bike_label")
+    return df.join(F.broadcast(dim), F.col(code) == F.col("__code"), "left").withColumn("bike_label", F.coalesce("bike_label", code)).drop("__code")
+
+
 def with_surface(df: DataFrame, spark: SparkSession, surface: str = "surface") -> DataFrame:
     """df with color and label of its surface; unknown ones get the colour of UNKNOWN and no label."""
     from trackweave.operators.symbols import DEFAULT_COLOR
