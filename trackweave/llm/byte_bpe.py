@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackweave.llm import pretokens
-from trackweave.llm.common import slices, table
+from trackweave.llm.common import give_back, slices, table
 
 #: Adjacent pairs whose compatibility a worker remembers.
 PAIR_MEMO = 1 << 16
@@ -189,6 +189,7 @@ def encode_decode(df: DataFrame, ranks: str, text: str = "text") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), lists, pa.array(decoded, pa.binary())], names=[*others, "ids", "decoded"])
         finally:
             enc.forget()
+            give_back()
 
     schema = T.StructType([*(df.schema[c] for c in others), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
     return df.select(df[text], *(df[c] for c in others)).mapInArrow(run, schema)

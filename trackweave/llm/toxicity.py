@@ -435,6 +435,8 @@ def score(df: DataFrame, weights: bytes, text: str = "text", out: str = "score")
         for column in batches:
             parts = [scorer.score([x or "" for x in column.slice(a, b - a).to_pylist()]) for a, b in slices(column, SLICE)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
+        del scorer
+        give_back()
 
     return df.withColumn(out, of(F.col(text)))
 
