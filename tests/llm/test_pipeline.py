@@ -55,6 +55,15 @@ def test_odd_rows(spark, sf_dir):
     assert byte_bpe.digests(docs.withColumn("decoded", docs.text.cast("binary"))).count() == len(rows)
 
 
+def test_empty_table(spark, sf_dir):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.collect() == [], name
+        if name != pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+
+
 def test_run(spark, sf_dir):
     rows = pipeline.run(spark, sf_dir).collect()
     assert 0 < len(rows) < spark.read.parquet(f"{sf_dir}/documents.parquet").count()
