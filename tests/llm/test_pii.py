@@ -81,6 +81,7 @@ def test_odd_rows_and_masks(spark):
     df = frame(spark, [*TEXTS, (70, "é a@b.cd and 1.2.3.4!"), (71, "a@b.cd")])
     masked = pii.mask(pii.detect(df)).collect()
     assert len(masked) == df.count() and pii.mask(pii.detect(df)).columns == df.columns
+    assert sorted(pii.redact(df).collect(), key=str) == sorted(masked, key=str)
     by = {r.doc_id: r.text for r in masked}
     assert by[70] == "é [EMAIL] and [IP]!" and by[71] == "[EMAIL]" and by[2] is None and by[3] == ""
     assert by[6] == dict(TEXTS)[6]
