@@ -51,8 +51,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with identifiers, plain or disguised, replaced by their kind."""
     small_batches(spark)
-    masked = pii.mask(pii.detect(docs, spans="__spans"), spans="__spans")
-    return masked.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
