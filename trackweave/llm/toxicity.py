@@ -387,7 +387,10 @@ def fitting(rows: list[tuple], chars: int) -> list[tuple]:
 
 
 def df_of(docs: DataFrame, chosen: list[tuple]) -> DataFrame:
-    return docs.sparkSession.createDataFrame(chosen, T.StructType([docs.schema["id"], T.StructField("label", T.IntegerType())]))
+    """(id, label) of the chosen rows, by Arrow, as plain rows would start Python workers of another kind on every executor."""
+    ids, labels = zip(*chosen, strict=True) if chosen else ([], [])
+    schema = T.StructType([docs.schema["id"], T.StructField("label", T.IntegerType())])
+    return docs.sparkSession.createDataFrame(pa.table({"id": pa.array(ids), "label": pa.array(labels, pa.int32())}), schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
