@@ -7,6 +7,7 @@ numbers give lon and lat), lineitem rows are segments with stress and slope, ord
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from trackweave.functions import checks, geo, keys, text
 from trackweave.operators import collections as coll
 from trackweave.operators import distance, geometry, routes, runs, sorting, statistics, symbols
 from trackweave.sinks import exports
-from trackweave.sources.dimensions import BIKE_TYPES, built_in_profiles, with_bike_type, with_surface
+from trackweave.sources.dimensions import BIKE_TYPES, DEFAULT_SETTINGS, built_in_profiles, with_bike_type, with_surface
 from trackweave.sources.documents import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -438,13 +439,40 @@ def distance_rollup(spark, sf_dir):
     return statistics.rolled_up(steps)
 
 
-@query()
+POINT_SQL = """'{"locationType":"POINT","point":{"lat":' || (event_id % 90)::DOUBLE || ',"lon":' || (event_id % 180)::DOUBLE || '}}'"""
+
+
+def fixed_sql(x: str, digits: int) -> str:
+    """Fixed decimals of x as text; a number exactly between two goes away from zero."""
+    halves = f"{x} * {2 * 2**digits}"
+    return f"printf('%.{digits}f', CASE WHEN {halves} = floor({halves}) AND abs({halves} % 2) = 1 THEN {x} + sign({x}) * 0.01 ELSE {x} END)"
+
+
+def shown_sql(x: str, shown: str, zero_is_missing: bool = True) -> str:
+    return f"CASE WHEN {x} IS NULL OR isnan({x}){f' OR {x} = 0' if zero_is_missing else ''} THEN 'N/A' ELSE {shown} END"
+
+
+@query(
+    f"""WITH {PTS}, n AS (SELECT *, 'Label ' || route_id AS name FROM pts)
+SELECT route_id, regexp_replace(name, '\\s+', '-', 'g') || '.gpx' AS file,
+  '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<gpx version="1.1" creator="trackweave" xmlns="http://www.topografix.com/GPX/1/1">' || chr(10) || '  <metadata>' || chr(10)
+  || '    <name>' || name || '</name>' || chr(10) || '    <desc>Distance: N/A</desc>' || chr(10) || '  </metadata>' || chr(10) || '  <trk>' || chr(10) || '    <name>' || name || '</name>' || chr(10) || '    <trkseg>' || chr(10)
+  || string_agg('      <trkpt lat="' || lat || '" lon="' || lon || '"></trkpt>', chr(10) ORDER BY vec_id) || chr(10) || '    </trkseg>' || chr(10) || '  </trk>' || chr(10) || '</gpx>' AS document
+FROM n GROUP BY route_id, name"""
+)
 def gpx_document(spark, sf_dir):
     p = points(spark, sf_dir).withColumn("name", F.concat(F.lit("Label "), F.col("route_id").cast("string")))
     return exports.gpx_documents(p, ["vec_id"])
 
 
-@query()
+@query(
+    ISLANDS
+    + """, l AS (
+  SELECT route_id, run_id, '{"type":"Feature","geometry":{"type":"LineString","coordinates":[' || string_agg('[' || (event_id % 180)::DOUBLE || ',' || (event_id % 90)::DOUBLE || ']', ',' ORDER BY ts, event_id)
+    || ']},"properties":{"surface":"' || any_value(surface) || '","distance":' || CAST(sum(distance) AS DOUBLE) || '}}' AS line
+  FROM r GROUP BY route_id, run_id)
+SELECT route_id, '{"type":"FeatureCollection","features":[' || string_agg(line, ',' ORDER BY run_id) || ']}' AS document FROM l GROUP BY route_id"""
+)
 def geojson_collection(spark, sf_dir):
     """Each run of a surface as a line through its events, whose ids and numbers of k stand for places."""
     e = segments(spark, sf_dir).withColumn("coordinates", F.array(F.array((F.col("event_id") % 180).cast("double"), (F.col("event_id") % 90).cast("double"))))
@@ -453,13 +481,22 @@ def geojson_collection(spark, sf_dir):
     return exports.collections_of(rows.withColumn("feature", f), "feature", ["run_id"])
 
 
-@query()
+@query(
+    f"""SELECT event_id, {shown_sql('value', fixed_sql('(value * 100 / 1000)', 1) + " || 'km'")} AS wide, {shown_sql('value', fixed_sql('(value * 100 / 1000)', 1) + " || 'km'", False)} AS narrow,
+  {shown_sql('value', "'↗' || " + fixed_sql('value', 0) + " || 'm'")} AS gain, CASE WHEN value IS NULL THEN 'N/A' WHEN value = floor(value) THEN CAST(value AS BIGINT) || '%' ELSE value || '%' END AS match
+FROM events"""
+)
 def display_distance(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.select("event_id", text.distance_text(F.col("value") * 100).alias("wide"), text.distance_text(F.col("value") * 100, zero_is_missing=False).alias("narrow"), text.gain_text(F.col("value")).alias("gain"), text.match_text(F.col("value")).alias("match"))
 
 
-@query()
+@query(
+    f"""WITH p AS (SELECT user_id AS route_id, {POINT_SQL} AS stop, row_number() OVER w AS n, count(*) OVER (PARTITION BY user_id) AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id % 90, event_id % 180))
+SELECT route_id, '{{"client":"WEB","origin":' || any_value(stop) FILTER (n = 1) || ',"destination":' || any_value(stop) FILTER (n = k) || ',"waypoints":[' || coalesce(string_agg(stop, ',' ORDER BY n) FILTER (n > 1 AND n < k), '') || '],"settings":'
+  || '{json.dumps(DEFAULT_SETTINGS, separators=(",", ":"))[:-1]}' || CASE WHEN route_id % 2 = 0 THEN ',"desiredLengthMeters":50000.0' ELSE '' END || '}},"departureDateTime":"2026-01-01T00:00:00.000Z"}}' AS request
+FROM p GROUP BY route_id"""
+)
 def routing_requests(spark, sf_dir):
     """The request document of each user's events, with a desired length for every second user."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("route_id"), "ts", (F.col("event_id") % 90).cast("double").alias("lat"), (F.col("event_id") % 180).cast("double").alias("lon"))
