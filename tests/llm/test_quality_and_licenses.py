@@ -58,3 +58,31 @@ def test_inheritance(spark):
     assert {r.doc_id: r.license for r in licenses.licenses(root, F.col("path")).collect()} == {1: "MIT", 2: "MIT"}
     assert licenses.licenses(df.limit(0), F.col("path")).collect() == []
     assert licenses.licenses(frame(spark), F.col("key")).count() == len(TEXTS)
+
+
+WRAPPED = {
+    "GPL-2.0": "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.\n#\nimport os\n",
+    "GPL-3.0": "/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version. */\nint main() {}\n",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version.\n",
+    "LGPL-2.1": "// This library is free software; you can redistribute it and/or\n// modify it under the terms of the GNU Lesser General Public\n// License as published by the Free Software Foundation; either\n// version 2.1 of the License, or (at your option) any later version.\n",
+    "MIT": 'MIT License\n\nCopyright (c) 2001 Somebody\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above notice shall be included.\n',
+    "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Keep this.\n",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\n',
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n",
+    "Zlib": "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n",
+}
+
+
+def test_wrapped_headers(spark, sf_dir):
+    rows = [*enumerate(WRAPPED.values()), (50, "a tale of two cities\nand of a licence\nto walk in the woods at night\n"), *((100 + i, t) for i, (_, t) in enumerate(ROWS))]
+    df = frame(spark, rows).select("doc_id", "text").withColumn("source", F.lit("s"))
+    found = licenses.licenses(df, F.concat(F.lit("p/"), F.col("doc_id").cast("string")))
+    by = {r.doc_id: r.license for r in found.collect()}
+    assert [by[i] for i in range(len(WRAPPED))] == list(WRAPPED) and by[50] is None
+    c = con(sf_dir, rows)
+    sql = c.execute(licenses.oracle()).fetchall()
+    assert sorted((r[0], r[2]) for r in sql if r[0] < len(WRAPPED)) == list(enumerate(WRAPPED))
+
+
+def test_the_gate_hides_no_notice():
+    assert all(any(cue in notice.lower() for cue in licenses.CUES) for _, notice in licenses.NOTICES)

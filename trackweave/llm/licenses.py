@@ -1,8 +1,9 @@
 """Licences of texts by sparse TF-IDF and path inheritance (operator 4): DataFrame functions only.
 
-Sentences of a whole text that hold a licence cue are compared with licence notices: terms weigh
-by their frequency and by a document frequency counted over all such sentences of the corpus and
-the notices; the cosine to the nearest notice decides. A licence file lends its licence to its
+Pieces of a whole text that hold a licence cue are compared with licence notices: its lines, cut at
+the ends of sentences, and its sentences as they run over wrapped lines, each distinct one once a
+text. Terms weigh by their frequency and by a document frequency counted over all such pieces of the
+corpus and the notices; the cosine to the nearest notice decides. A licence file lends its licence to its
 directory, and a text without a licence of its own takes that of its nearest ancestor directory.
 """
 
@@ -37,10 +38,22 @@ NOTICES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC0-1.0", "Released into the public domain under CC0 1.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
 )
-# A sentence without any of these is no licence notice.
+# A piece without any of these is no licence notice; each notice holds one.
 CUES = ("licen", "public domain", "hereby granted", "redistribution and use", "redistribute")
 SENTENCE = r"\n|[.!?;][ \t\r]+"
+#: Wrapped sentences end at a line without letters and digits, or at a full stop.
+WRAPPED = r"\n[^\n0-9A-Za-z]*\n|[.!?][ \t\r\n]+"
 TERM = r"[^a-z0-9.]+"
 THRESHOLD = 0.6
 FILE_NAME = r"(?i)^(licen[sc]e|copying|unlicense)([._-].*)?$"
@@ -76,7 +89,7 @@ def weights(found: dict[str, int], sentences: int) -> tuple[dict[str, float], di
 
 
 def nearest(terms: DataFrame, idf: dict[str, float], unit: dict[str, list[float]], threshold: float) -> DataFrame:
-    """(row, best) of rows with a sentence near enough to a notice; best = (cosine, -notice)."""
+    """(row, best) of rows with a piece near enough to a notice; best = (cosine, -notice)."""
     mapped = lambda values, lit: F.create_map(*(x for t in VOCABULARY for x in (F.lit(t), lit(values[t]))))
     weigh = F.col("tf") * F.coalesce(F.try_element_at(mapped(idf, F.lit), F.col("term")), F.lit(1.0))
     vector = F.try_element_at(mapped(unit, lambda v: F.array(*map(F.lit, v))), F.col("term"))
@@ -94,11 +107,11 @@ def licenses(df: DataFrame, path: Column, text: str = "text", key: str = "doc_id
     own, "inherited" where the nearest ancestor directory with a licence file gives it (from_dir),
     else null. Of several notices in one text, or files in one directory, the nearest one counts,
     ties going to the first notice. Null and empty texts have no notice but can inherit; a null
-    path inherits nothing. Repeated rows and null keys give a row each; extra columns are ignored;
+    path inherits nothing. Long texts are read whole. Repeated rows and null keys give a row each; extra columns are ignored;
     an empty table gives an empty result.
     """
     text_col = F.coalesce(df[text], F.lit(""))
-    sentences = F.filter(F.split(text_col, SENTENCE), lambda s: has_cue(lowered(s)))
+    sentences = F.array_union(*(F.filter(F.split(text_col, end), lambda s: has_cue(lowered(s))) for end in (SENTENCE, WRAPPED)))
     none = F.array().cast("array<string>")
     base = written(df.select(F.monotonically_increasing_id().alias("row"), df[key].alias("key"), path.alias("path"), F.when(has_cue(lowered(text_col)), sentences).otherwise(none).alias("sentences")), "notices")
     each = base.select("row", F.posexplode("sentences").alias("at", "s"))
@@ -160,7 +173,7 @@ WITH docs AS (
     concat_ws('/', source, 'd' || (doc_id // 1000), 'd' || (doc_id // 100),
       CASE WHEN length(text) <= {FILE_CHARS} AND ({cue.format(low.format("text"))}) THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END) AS path
   FROM documents),
-cut AS (SELECT r, regexp_split_to_array(text, '\\n|[.!?;][ \\t\\r]+') AS ss FROM docs WHERE {cue.format(low.format("text"))}),
+cut AS (SELECT r, list_distinct(list_concat(regexp_split_to_array(text, '{SENTENCE}'), regexp_split_to_array(text, '{WRAPPED}'))) AS ss FROM docs WHERE {cue.format(low.format("text"))}),
 sent AS (SELECT r, i, {low.format("s")} AS s FROM (SELECT r, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM cut) WHERE {cue.format(low.format("s"))}),
 word AS (SELECT r, i, trim(t, '.') AS term FROM (SELECT r, i, unnest(regexp_split_to_array(s, '[^a-z0-9.]+')) AS t FROM sent)),
 tf AS (SELECT r, i, term, count(*) AS tf FROM word WHERE term <> '' GROUP BY ALL),
