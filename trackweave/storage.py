@@ -23,14 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder below shared_dir(), not yet made; remove() deletes it with the tables of written()."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder, in a folder for each value of by, and read it again.
 
     Results are read lazily, so a table must outlive the call that makes it; remove() drops those of a
     session once its results are stored.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _PATHS.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    path = new_path(df.sparkSession, name)
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
