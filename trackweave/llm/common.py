@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +11,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.storage import shared_dir, written  # noqa: F401
+from trackweave.storage import new_path, shared_dir, written  # noqa: F401
 
 #: Bytes of text that one inner step of a Python task works on at a time.
 SLICE_BYTES = 4 << 20
@@ -25,10 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id written as text, modulo divisor (null id: null)."""
     return F.crc32(doc_id.cast("string")) % divisor

@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_counts.query,
     "op9_token_store": token_store.query,
     "op10_byte_bpe": byte_bpe.query,
+    "op11_warc": warc.query,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.oracle(),
     "op3_near_dedup": minhash.ORACLE,
     "op4_licenses": licenses.oracle(),
+    "op11_warc": warc.ORACLE,
 }
