@@ -17,6 +17,8 @@ from trackweave.storage import new_path, shared_dir, written  # noqa: F401
 SLICE_BYTES = 4 << 20
 #: Bytes of text after which a task gives freed memory back.
 GIVEN_BACK = 8 << 20
+#: A key with one in HOT of all rows is hot, so there are at most so many; its rows are dealt over SALTS.
+HOT, SALTS = 1000, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,15 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(doc_id.cast("string")) % divisor
 
 
+def joined_to_one(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, spread: Column) -> DataFrame:
+    """Inner join of many with one (unique by key). hot: at most HOT keys, marked and sent to all tasks;
+    their rows in many are dealt over SALTS by spread, and their row in one is copied as often."""
+    marks = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
+    salted = many.join(marks, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("_hot")
+    copies = one.join(marks, key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def give_back() -> None:
     """Return freed memory to the machine: workers live on through many stages beside a grown heap."""
     gc.collect(0)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackweave.llm import byte_bpe, decontamination, licenses, lm_scoring, minhash, pii, quality_rules, runs, token_counts, token_store, toxicity
+from trackweave.llm import byte_bpe, decontamination, licenses, lm_scoring, minhash, pii, quality_rules, runs, spelling, token_counts, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm_scoring.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": byte_bpe.query,
     "op11_warc": warc.query,
     "op12_periodic_runs": runs.query,
+    "op13_spelling_variants": spelling.query,
 }
 
 ORACLES: dict[str, str] = {

@@ -20,14 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackweave.llm.common import give_back, new_path, table, written
+from trackweave.llm.common import HOT, give_back, joined_to_one, new_path, table, written
 
 #: Payloads from so many bytes on are shared by revisit records.
 LEAST_BYTES = 1000
 #: Payload bytes of one archive file, before compression; a reader holds one file at a time.
 FILE_BYTES = 32 << 20
-#: A digest with this share of all headers is hot, so there are at most so many; its headers are dealt over SALTS.
-HOT, SALTS = 1000, 64
 #: Time of the records where none is given: the tables have no time of capture.
 DATE = "1970-01-01T00:00:00Z"
 # Fixed values of the WARC 1.1 format.
@@ -51,15 +49,6 @@ def _slot(key: Column, digest: Column) -> Column:
     return F.concat_ws(":", key.cast("string"), digest)
 
 
-def joined_to_one(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, spread: Column) -> DataFrame:
-    """Inner join of many with one (unique by key). hot: at most HOT keys, marked and sent to all tasks;
-    their rows in many are dealt over SALTS by spread, and their row in one is copied as often."""
-    marks = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
-    salted = many.join(marks, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("_hot")
-    copies = one.join(marks, key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return salted.join(copies, [key, "_salt"]).drop("_salt")
-
-
 def revisits(headers: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """Headers whose payload another record keeps: key, digest, and the original's key and uri, one row a key and payload.
 
