@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackweave.llm import byte_bpe, decontamination, licenses, lm_scoring, minhash, pii, quality_rules, runs, spelling, token_counts, token_store, toxicity
+from trackweave.llm import byte_bpe, decontamination, licenses, lm_scoring, minhash, pii, quality_rules, runs, spelling, token_counts, token_store, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm_scoring.query,
