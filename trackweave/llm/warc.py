@@ -115,7 +115,8 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", url: str = "u
     headers = written(_headers(df, key, url, text), "headers")
     links = revisits(headers, least).select(_slot(F.col("key"), F.col("digest")).alias("slot"), "first_key", "first_uri")
     total = headers.agg(F.sum("bytes")).first()[0] or 0
-    files = max(math.ceil(total / FILE_BYTES), df.sparkSession.sparkContext.defaultParallelism)
+    # at least as many files as shuffles have partitions: then the plan keeps one exchange even where no payload occurs twice
+    files = max(math.ceil(total / FILE_BYTES), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     payload = F.coalesce(df[text], F.lit(""))
     rows = df.select(df[key].alias("key"), df[url].cast("string").alias("uri"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("bytes"))
     rows = rows.withColumn("slot", _slot(F.col("key"), F.col("digest"))).repartition(files, "slot")
