@@ -250,3 +250,64 @@ def test_multi_lines_keep_all_vertices(spark, tmp_path):
 def test_collection_or_null(spark):
     rows = spark.createDataFrame([((["f"],),), ((None,),), (None,)], "d struct<features: array<string>>")
     assert [r[0] is not None for r in rows.select(routes.collection_or_null(F.col("d"))).collect()] == [True, False, False]
+
+
+def test_gaps_between_lines_are_no_road(spark, tmp_path):
+    """Two lines of 0.01 degrees on the equator, a degree apart; and a document that is one feature."""
+    line = lambda lon: [[lon, 0.0], [lon + 0.01, 0.0]]
+    several = {"type": "Feature", "geometry": {"type": "MultiLineString", "coordinates": [line(14.0), line(15.0)]}, "properties": {"surfaceSmoothness": "UNKNOWN"}}
+    alone = {"type": "Feature", "geometry": {"type": "LineString", "coordinates": line(3.0)}, "properties": {"surfaceSmoothness": "PAVED_GOOD", "stress": 4}}
+    document = {"id": "r", "routes": [{"geoJson": {"type": "FeatureCollection", "features": [several]}}, {"geoJson": alone}, {"geoJson": {"type": "FeatureCollection"}}]}
+    (tmp_path / "r.json").write_text(json.dumps(document))
+    segments = routes.segments_table(documents.responses(spark, f"file://{tmp_path}/r.json"))
+    step = 6_371_000 * math.radians(0.01)
+    got = {r.route_id: r.meters for r in distance.route_lengths(segments).collect()}
+    assert set(got) == {"r/0", "r/1"} and math.isclose(got["r/0"], 2 * step, rel_tol=1e-9) and math.isclose(got["r/1"], step, rel_tol=1e-9)
+    marks = distance.route_markers(segments, interval=1000, bucket="seg_idx").collect()
+    assert sorted((r.route_id, r.marker, round(r.lon, 6)) for r in marks) == [("r/0", 1, round(14 + 10 / step, 6)), ("r/0", 2, round(15 + 0.01 * (2000 - step) / step, 6)), ("r/1", 1, round(3 + 10 / step, 6))]
+    assert symbols.route_symbols(segments).first().symbol == "car" and geometry.vertices(segments).filter("route_id = 'r/0'").count() == 4
+
+
+def test_white_space_of_any_kind(spark):
+    for space in ("\t", "\u00a0", "\ufeff", "\u2028 \u3000"):
+        row = one(spark, checks.has_name(F.lit(space)).alias("a"), checks.is_search_term(F.lit(f"{space}ab{space}")).alias("b"), text.slug(F.lit(f"a{space}b")).alias("c"), text.trimmed(F.lit(f"{space}a{space}b{space}")).alias("d"))
+        assert tuple(row) == (False, False, "a-b", f"a{space}b")
+    t = spark.createDataFrame([("a", "x", False)], "id string, name string, isPermanent boolean")
+    assert coll.promote_in_place(t, "a", "\u00a0New\t").first().name == "New"
+
+
+def test_code_units(spark):
+    for word in ("", "ab", "\u20ac", "a\U0001f600b", "\U0001f1e9\U0001f1ea"):
+        units = word.encode("utf-16-be")
+        assert one(spark, keys.code_sum(F.lit(word)).alias("s")).s == sum(units[i] * 256 + units[i + 1] for i in range(0, len(units), 2))
+
+
+def test_fixed_decimals_are_exact(spark):
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rng = random.Random(1)
+    values = [0.25, 1.45, 2.5, -0.04, 0.05, 1e16, 123456789.05, -2.5, 0.0, *(rng.randrange(10**6) / 100 for _ in range(500)), *(rng.uniform(-1e4, 1e4) for _ in range(300))]
+    for digits in (0, 1, 2):
+        got = spark.createDataFrame([(v,) for v in values], "v double").select("v", text.fixed(F.col("v"), digits).alias("t")).collect()
+        assert [r for r in got if r.t != format(Decimal(r.v).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP), "f")] == []
+
+
+def test_layers_of_a_route(spark):
+    """A run over two buckets is one line; a route without symbols has an empty collection; documents parse."""
+    from trackweave.operators import layers
+
+    v = lambda i: [i / 100, 0.0]
+    rows = [("r", i, i // 2, "AAABBA"[i], float(i), 5.0 if i in (1, 4) else 0.0, 0.0, [v(i), v(i + 1)] if i != 3 else None) for i in range(6)] + [("s", 0, 0, None, 1.0, None, None, [[0.0, 0.0]])]
+    df = spark.createDataFrame(rows, "route_id string, seg_idx int, part int, surface string, distance double, stress double, slope double, coordinates array<array<double>>")
+    chunks = layers.track_layers(df, "part", interval=2000)
+    got = {r.route_id: [json.loads(r[n]) for n in layers.LAYERS] for r in layers.documents(chunks).collect()}
+    line, symbol, marker = got["r"]
+    assert [(f["properties"], len(f["geometry"]["coordinates"])) for f in line["features"]] == [({"surfaceSmoothness": "A", "distance": 3.0}, 6), ({"surfaceSmoothness": "B", "distance": 7.0}, 2), ({"surfaceSmoothness": "A", "distance": 5.0}, 2)]
+    assert line["features"][0]["geometry"]["coordinates"] == [v(0), v(1), v(1), v(2), v(2), v(3)]
+    assert [f["geometry"]["coordinates"] for f in symbol["features"]] == [v(2), v(5)] and symbol["features"][0]["properties"] == {"symbol": "car", "color": "#e205c4", "rotation": 0, "priority": 0}
+    assert [f["properties"]["label"] for f in marker["features"]] == ["2", "4"]
+    assert [len(x["features"]) for x in got["s"]] == [1, 0, 0]
+    assert chunks.filter("route_id = 'r' AND layer = 'line'").count() == 3
+    plan = layers.lines(df, "part")._jdf.queryExecution().executedPlan().toString()
+    assert "pieces" in plan and "seg_idx" not in plan

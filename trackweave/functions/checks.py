@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trackweave.functions.geo import lines
+from trackweave.functions.text import trimmed
 
 
 def is_hex_color(text: Column) -> Column:
@@ -13,11 +14,11 @@ def is_hex_color(text: Column) -> Column:
 
 
 def has_name(text: Column) -> Column:
-    return F.coalesce(F.length(F.trim(text)) > 0, F.lit(False))
+    return F.coalesce(F.length(trimmed(text)) > 0, F.lit(False))
 
 
 def is_search_term(text: Column, least: int = 3) -> Column:
-    return F.coalesce(F.length(F.trim(text)) >= least, F.lit(False))
+    return F.coalesce(F.length(trimmed(text)) >= least, F.lit(False))
 
 
 def can_route(waypoints: Column, circular: bool = False) -> Column:

@@ -21,11 +21,16 @@ def lerp(a: Column, b: Column, share: Column) -> Column:
     return a + (b - a) * share
 
 
-def lines(geometry_type: Column, coordinates: Column) -> Column:
-    """Vertices of a LineString or, line after line, of a MultiLineString, from variant coordinates; else null."""
+def parts(geometry_type: Column, coordinates: Column) -> Column:
+    """The lines of a LineString (one) or a MultiLineString, each with its vertices, from variant coordinates; else null."""
     single = F.try_variant_get(coordinates, "$", "array<array<double>>")
-    several = F.flatten(F.try_variant_get(coordinates, "$", "array<array<array<double>>>"))
-    return F.when(geometry_type == "LineString", single).when(geometry_type == "MultiLineString", several)
+    several = F.try_variant_get(coordinates, "$", "array<array<array<double>>>")
+    return F.when((geometry_type == "LineString") & single.isNotNull(), F.array(single)).when(geometry_type == "MultiLineString", several)
+
+
+def lines(geometry_type: Column, coordinates: Column) -> Column:
+    """All vertices of parts(), line after line: for boxes and exports. What is between two lines is no road."""
+    return F.flatten(parts(geometry_type, coordinates))
 
 
 def pairs(coordinates: Column) -> Column:
@@ -42,6 +47,16 @@ def line_length(coordinates: Column) -> Column:
     return F.aggregate(pairs(coordinates), F.lit(0.0), lambda s, p: s + step(p))
 
 
+def lines_length(parts_: Column) -> Column:
+    """Metres along several lines, without what is between them."""
+    return F.aggregate(parts_, F.lit(0.0), lambda s, line: s + F.coalesce(line_length(line), F.lit(0.0)))
+
+
 def mid_vertex(coordinates: Column) -> Column:
     """The vertex at floor(n / 2), null for an empty line."""
     return F.get(coordinates, F.floor(F.size(coordinates) / 2).cast("int"))
+
+
+def feature(geometry: str, coordinates: Column, properties: Column) -> Column:
+    """A GeoJSON feature."""
+    return F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(geometry).alias("type"), coordinates.alias("coordinates")).alias("geometry"), properties.alias("properties"))

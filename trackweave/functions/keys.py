@@ -15,8 +15,11 @@ def _pick(table: tuple[str, ...], slot: Column) -> Column:
 
 
 def code_sum(text: Column) -> Column:
-    """The sum of the characters' code points (that of UTF-16 units within the basic plane)."""
-    return F.aggregate(F.split(text, ""), F.lit(0).cast("bigint"), lambda s, c: s + F.when(c == "", 0).otherwise(F.ascii(c)).cast("bigint"))
+    """The sum of the characters' UTF-16 units; characters beyond the basic plane have two."""
+    points = F.aggregate(F.split(text, ""), F.lit(0).cast("bigint"), lambda s, c: s + F.when(c == "", 0).otherwise(F.ascii(c)).cast("bigint"))
+    coded = F.hex(F.encode(text, "UTF-16BE"))
+    units = F.transform(F.sequence(F.lit(1), F.length(coded) - 3, F.lit(4)), lambda i: F.conv(F.substring(coded, i, F.lit(4)), 16, 10).cast("bigint"))
+    return F.when(text.rlike("[\\x{10000}-\\x{10FFFF}]"), F.aggregate(units, F.lit(0).cast("bigint"), lambda s, u: s + u)).otherwise(points)
 
 
 def hash_slot(key: Column) -> Column:

@@ -9,19 +9,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The white space of names, which is that of Unicode with line ends and the byte order mark.
+SPACE = r"\x{09}-\x{0D}\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
+def trimmed(text: Column) -> Column:
+    """text without white space, of any kind, at its ends."""
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
 def fixed(value: Column, digits: int) -> Column:
-    """The value with so many decimals, rounded by its exact binary value.
+    """The value with so many decimals, rounded by its exact binary value, halves away from zero.
 
-    No SQL function rounds 1.45 to 1.4 and 0.25 to 0.3, so this is an Arrow function; use it on what
-    is shown, not on what is computed with.
+    Doubles tell on which side of a half a value lies unless it is very near to one, as 1.45 (which is
+    less) and 0.25 (which is one) are; those, and values too large to count on, go through an Arrow function.
     """
-    unit = Decimal(1).scaleb(-digits)
+    value = value.cast("double")
+    unit, whole = Decimal(1).scaleb(-digits), 10**digits
+    scaled = F.abs(value) * whole
+    near = (scaled >= 1e15) | F.isnan(value) | (F.abs(scaled - F.floor(scaled) - 0.5) < 1e-9 * F.greatest(scaled, F.lit(1.0)))
+    count = F.floor(F.when(~near, scaled) + 0.5).cast("bigint")
+    body = count.cast("string")
+    if digits:
+        body = F.concat(((count - count % whole) / whole).cast("bigint").cast("string"), F.lit("."), F.lpad((count % whole).cast("string"), digits, "0"))
+    plain = F.concat(F.when(value < 0, "-").otherwise(""), body)
 
     @F.pandas_udf("string")
     def show(v: pd.Series) -> pd.Series:
         return v.map(lambda x: format(Decimal(x).quantize(unit, ROUND_HALF_UP), "f") if pd.notna(x) else None)
 
-    return show(value.cast("double"))
+    return F.coalesce(plain, show(F.when(near, value)))
 
 
 def js_round(value: Column) -> Column:
@@ -65,8 +82,8 @@ def date_text(time: Column) -> Column:
 
 
 def slug(name: Column) -> Column:
-    """Runs of white space become a hyphen."""
-    return F.regexp_replace(name, r"\s+", "-")
+    """Runs of white space, of any kind, become a hyphen."""
+    return F.regexp_replace(name, f"[{SPACE}]+", "-")
 
 
 def escaped(text: Column) -> Column:

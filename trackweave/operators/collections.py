@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackweave.functions.text import trimmed
 from trackweave.operators.ordered import with_running_sum
 
 
@@ -102,7 +103,7 @@ def promote_copy(table: DataFrame, id: str, new_id: str, name: str) -> DataFrame
 def promote_in_place(table: DataFrame, id: str, name: str) -> DataFrame:
     """A track is marked permanent under its old id, with the trimmed name."""
     here = F.col("id") == id
-    return set_field(set_field(table, here, "isPermanent", F.lit(True)), here, "name", F.trim(F.lit(name)))
+    return set_field(set_field(table, here, "isPermanent", F.lit(True)), here, "name", trimmed(F.lit(name)))
 
 
 def clear_temporary(table: DataFrame) -> DataFrame:

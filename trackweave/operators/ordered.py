@@ -60,11 +60,33 @@ def with_running_sum(df: DataFrame, group: Names, order: Names, value: Column, n
     return _running_sum(_keyed(df, group, bucket), group, order, value, name, bucket).drop("__key")
 
 
+def with_last(df: DataFrame, group: Names, order: Names, values: dict[str, Column], bucket: str | None = None) -> DataFrame:
+    """df with each name of values: the last of its values up to and with each row of the group that isn't null."""
+    latest = {n: F.last(v, ignorenulls=True) for n, v in values.items()}
+    if bucket is None:
+        w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *(v.over(w).alias(n) for n, v in latest.items()))
+    rows = _keyed(df, group, bucket)
+    w = Window.partitionBy("__key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    at = F.struct(*order)
+    ends = rows.groupBy("__key").agg(*(F.max_by(v, F.when(v.isNotNull(), at)).alias(n) for n, v in values.items()))
+    back = Window.partitionBy(*(F.col(f"__key.{g}") for g in group)).orderBy(F.col(f"__key.{bucket}")).rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(F.col("__key").alias("__at"), *(F.last(n, ignorenulls=True).over(back).alias(f"__before_{n}") for n in values))
+    out = rows.select("*", *(v.over(w).alias(n) for n, v in latest.items())).join(before, F.col("__key") == F.col("__at"))
+    return out.withColumns({n: F.coalesce(n, f"__before_{n}") for n in values}).drop("__key", "__at", *(f"__before_{n}" for n in values))
+
+
+def keyed_islands(df: DataFrame, group: Names, order: Names, value: Column, name: str, bucket: str) -> DataFrame:
+    """with_islands and the key of each bucket, __key: what is grouped by it, and more, moves no row again."""
+    changed = F.when(F.col("__prev").isNotNull() & ~value.eqNullSafe(F.col("__prev.value")), 1).otherwise(0).cast("bigint")
+    rows = _previous(_keyed(df, group, bucket), group, order, value, "__prev", bucket).withColumn("__changed", changed)
+    return _running_sum(rows, group, order, F.col("__changed"), name, bucket).drop("__prev", "__changed")
+
+
 def with_islands(df: DataFrame, group: Names, order: Names, value: Column, name: str, bucket: str | None = None) -> DataFrame:
     """df with `name`: the number, from 0, of the run of equal neighbouring values; nulls are equal."""
+    if bucket is not None:
+        return keyed_islands(df, group, order, value, name, bucket).drop("__key")
     changed = F.when(F.col("__prev").isNotNull() & ~value.eqNullSafe(F.col("__prev.value")), 1).otherwise(0).cast("bigint")
-    if bucket is None:
-        rows = with_previous(df, group, order, value, "__prev").withColumn("__changed", changed)
-        return with_running_sum(rows, group, order, F.col("__changed"), name).drop("__prev", "__changed")
-    rows = _previous(_keyed(df, group, bucket), group, order, value, "__prev", bucket).withColumn("__changed", changed)
-    return _running_sum(rows, group, order, F.col("__changed"), name, bucket).drop("__key", "__prev", "__changed")
+    rows = with_previous(df, group, order, value, "__prev").withColumn("__changed", changed)
+    return with_running_sum(rows, group, order, F.col("__changed"), name).drop("__prev", "__changed")

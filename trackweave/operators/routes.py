@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.functions import keys, text
+from trackweave.functions import geo, keys, text
 from trackweave.functions.checks import has_routes, is_line
-from trackweave.functions.geo import lines
 from trackweave.operators.collections import overlay_struct
 from trackweave.schemas import EXTRA_NUMBERS
 from trackweave.sources.dimensions import DEFAULT_SETTINGS, SETTINGS_NAMES, default_settings
@@ -69,14 +68,24 @@ def via_table(responses: DataFrame) -> DataFrame:
 
 
 def segments(features: DataFrame) -> DataFrame:
-    """features(route_id, features) to a row each: (route_id, seg_idx, the properties, surface, coordinates)."""
+    """features(route_id, features) to a row each: (route_id, seg_idx, the properties, surface, coordinates, parts).
+
+    coordinates are all vertices, parts those of each line: lengths are measured inside parts.
+    """
     rows = features.select("route_id", F.posexplode("features").alias("seg_idx", "f"))
-    return rows.select("route_id", "seg_idx", "f.properties.*", F.col("f.properties.surfaceSmoothness").alias("surface"), lines(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("coordinates"))
+    parts = geo.parts(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))
+    return rows.select("route_id", "seg_idx", "f.properties.*", F.col("f.properties.surfaceSmoothness").alias("surface"), F.flatten(parts).alias("coordinates"), parts.alias("parts"))
+
+
+def features_of(document: Column) -> Column:
+    """The features of a collection; a document that is one feature gives that one, any other null."""
+    alone = F.array(F.struct(F.lit("Feature").alias("type"), document["geometry"].alias("geometry"), document["properties"].alias("properties")))
+    return F.when(document["features"].isNotNull(), document["features"]).when(document["geometry"].isNotNull(), alone)
 
 
 def segments_table(responses: DataFrame) -> DataFrame:
     """Segments of every route with route_id "<response>/<index>"."""
-    rows = route_rows(responses).select(F.concat_ws("/", "response_id", F.col("route_idx").cast("string")).alias("route_id"), F.col("route.geoJson.features").alias("features"))
+    rows = route_rows(responses).select(F.concat_ws("/", "response_id", F.col("route_idx").cast("string")).alias("route_id"), features_of(F.col("route.geoJson")).alias("features"))
     return segments(rows)
 
 

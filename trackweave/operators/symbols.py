@@ -9,6 +9,7 @@ from trackweave.functions.geo import mid_vertex
 
 # Colours from mild to severe.
 PALETTE = ("#e2d705", "#eab35a", "#ed8c82", "#ea5fa4", "#e205c4")
+# The limits, colours and priorities of symbols.
 #: (least stress, colour, priority), severe first; stress comes before slope.
 STRESS_RULES = ((5, PALETTE[4], 0), (4, PALETTE[3], 0), (3, PALETTE[1], 10))
 #: (slope steeper than, symbol, colour, priority), steep first, each way up and down.
@@ -41,10 +42,10 @@ def symbol(stress: Column, slope: Column) -> Column:
     return out
 
 
-def route_symbols(features: DataFrame) -> DataFrame:
-    """(route_id, seg_idx, symbol, color, priority, rotation, coordinates) at the middle vertex; segments without a symbol go."""
+def route_symbols(features: DataFrame, *more: str) -> DataFrame:
+    """(route_id, seg_idx, symbol, color, priority, rotation, coordinates, and columns named in more) at the middle vertex; segments without a symbol go."""
     rows = features.withColumn("__s", symbol(F.col("stress"), F.col("slope"))).filter("__s IS NOT NULL")
-    return rows.select("route_id", "seg_idx", "__s.*", mid_vertex(F.col("coordinates")).alias("coordinates"))
+    return rows.select("route_id", "seg_idx", "__s.*", mid_vertex(F.col("coordinates")).alias("coordinates"), *more)
 
 
 def surface_color(surface: Column) -> Column:

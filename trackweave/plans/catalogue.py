@@ -310,18 +310,25 @@ def replace_waypoints(spark, sf_dir):
     return coll.replaced(e, e.filter("event_id % 50 = 0").withColumn("event_id", -F.col("event_id")), ["user_id"])
 
 
-@query("SELECT label AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS ord, CAST(vec_id AS DOUBLE) AS lng, CAST(-vec_id AS DOUBLE) AS lat FROM embeddings")
+def saved(spark, sf_dir):
+    """embeddings as saved tracks: every two numbers of a vector are a waypoint, numbered in it."""
+    e, at = F.col("embedding"), lambda i: F.get("embedding", i).cast("double")
+    way = lambda i: F.struct(i.cast("string").alias("id"), at(2 * i).alias("lng"), at(2 * i + 1).alias("lat"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.sequence(F.lit(0), F.floor(F.size(e) / 2).cast("int") - 1), way).alias("waypoints"))
+
+
+SAVED = "w AS (SELECT vec_id, embedding, unnest(range(len(embedding) // 2)) AS i FROM embeddings)"
+
+
+@query(f"WITH {SAVED} SELECT vec_id AS id, CAST(i AS INT) AS ord, CAST(embedding[2 * i + 1] AS DOUBLE) AS lng, CAST(embedding[2 * i + 2] AS DOUBLE) AS lat FROM w")
 def reload_waypoints(spark, sf_dir):
     """Waypoints of saved tracks without their ids, in order."""
-    w = F.struct(F.col("vec_id").alias("id"), F.col("vec_id").cast("double").alias("lng"), (-F.col("vec_id")).cast("double").alias("lat"))
-    saved = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("id")).agg(F.array_sort(F.collect_list(w)).alias("waypoints"))
-    return routes.reloaded(saved).withColumn("ord", F.col("ord").cast("bigint"))
+    return routes.reloaded(saved(spark, sf_dir))
 
 
-@query("SELECT vec_id, CAST(vec_id AS DOUBLE) AS lat, CAST(label AS DOUBLE) AS lon FROM embeddings")
+@query(f"WITH {SAVED} SELECT vec_id, CAST(i AS INT) AS ord, CAST(embedding[2 * i + 2] AS DOUBLE) AS lat, CAST(embedding[2 * i + 1] AS DOUBLE) AS lon FROM w")
 def request_points(spark, sf_dir):
-    w = F.struct(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("double").alias("lng"), F.col("vec_id").cast("double").alias("lat"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.explode(routes.points_of(F.array(w))).alias("p")).select("vec_id", "p.lat", "p.lon")
+    return saved(spark, sf_dir).select(F.col("id").alias("vec_id"), F.posexplode(routes.points_of(F.col("waypoints"))).alias("ord", "p")).select("vec_id", "ord", "p.lat", "p.lon")
 
 
 @query(
@@ -348,10 +355,10 @@ def line_vertices(spark, sf_dir):
     return geometry.vertices(rows).select(F.col("route_id").alias("seg_idx"), "vertex_idx", "lon", "lat")
 
 
-@query("SELECT user_id, min_by(event_id, ts) AS origin, max_by(event_id, ts) AS destination, greatest(count(*) - 2, 0) AS n_via FROM events GROUP BY user_id")
+@query("SELECT user_id, min_by(event_id, (ts, event_id)) AS origin, max_by(event_id, (ts, event_id)) AS destination, greatest(count(*) - 2, 0) AS n_via FROM events GROUP BY user_id")
 def origin_dest_via(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("route_id"), "ts", F.col("event_id").alias("lat"), F.lit(0).alias("lon"))
-    out = geometry.ends(e, ["ts"])
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("route_id"), "ts", "event_id", F.col("event_id").alias("lat"), F.lit(0).alias("lon"))
+    out = geometry.ends(e, ORDER)
     return out.select(F.col("route_id").alias("user_id"), F.col("origin.lat").alias("origin"), F.col("destination.lat").alias("destination"), "n_via")
 
 
@@ -368,21 +375,21 @@ def color_hash(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", keys.hash_slot(key).alias("slot"), keys.color_or_hash(F.lit(""), key).alias("color"), keys.route_color(F.col("o_orderkey")).alias("route_color"))
 
 
-@query("SELECT p_partkey, regexp_replace(p_name, '[ \\t\\n\\r\\f\\v]+', '-', 'g') AS slug FROM part")
+@query(f"SELECT p_partkey, regexp_replace(p_name, '[{text.SPACE}]+', '-', 'g') AS slug FROM part")
 def slug_names(spark, sf_dir):
     """File names from whole names."""
     return table(spark, sf_dir, "part").select("p_partkey", text.slug(F.col("p_name")).alias("slug"))
 
 
 @query(
-    """WITH p AS (SELECT page_id, url, '#' || upper(substr(md5(url), 1, CASE WHEN page_id % 3 = 0 THEN 5 ELSE 6 END)) AS color, page_id % 240 AS km, page_id % 4 AS n FROM pages)
-SELECT page_id, color, regexp_full_match(color, '#[0-9A-Fa-f]{6}') AS hex, length(trim(url)) > 0 AS named, length(trim(left(url, CAST(n AS INT)))) >= 3 AS search, n >= 2 AS route, n >= 1 AS circular, CASE WHEN km BETWEEN 10 AND 200 THEN km * 1000.0::DOUBLE END AS meters FROM p"""
+    f"""WITH p AS (SELECT page_id, url, '#' || upper(substr(md5(url), 1, CASE WHEN page_id % 3 = 0 THEN 5 ELSE 6 END)) AS color, page_id % 240 AS km, page_id % 4 AS n FROM pages)
+SELECT page_id, color, regexp_full_match(color, '#[0-9A-Fa-f]{{6}}') AS hex, length(regexp_replace(url, '^[{text.SPACE}]+|[{text.SPACE}]+$', '', 'g')) > 0 AS named, length(regexp_replace(url, '^[{text.SPACE}]+|[{text.SPACE}]+$', '', 'g')) >= 3 AS search, n >= 2 AS route, n >= 1 AS circular, CASE WHEN km BETWEEN 10 AND 200 THEN km * 1000.0::DOUBLE END AS meters FROM p"""
 )
 def validation_flags(spark, sf_dir):
     n, km = F.col("page_id") % 4, F.col("page_id") % 240
     color = F.concat(F.lit("#"), F.upper(F.substring(F.md5("url"), F.lit(1), F.when(F.col("page_id") % 3 == 0, 5).otherwise(6))))
     return table(spark, sf_dir, "pages").select(
-        "page_id", color.alias("color"), checks.is_hex_color(color).alias("hex"), checks.has_name(F.col("url")).alias("named"), checks.is_search_term(F.left("url", n.cast("int"))).alias("search"),
+        "page_id", color.alias("color"), checks.is_hex_color(color).alias("hex"), checks.has_name(F.col("url")).alias("named"), checks.is_search_term(F.col("url")).alias("search"),
         checks.can_route(n).alias("route"), checks.can_route(n, circular=True).alias("circular"), checks.circular_meters(km).cast("double").alias("meters"),
     )
 
@@ -465,22 +472,6 @@ def gpx_document(spark, sf_dir):
     return exports.gpx_documents(p, ["vec_id"])
 
 
-@query(
-    ISLANDS
-    + """, l AS (
-  SELECT route_id, run_id, '{"type":"Feature","geometry":{"type":"LineString","coordinates":[' || string_agg('[' || (event_id % 180)::DOUBLE || ',' || (event_id % 90)::DOUBLE || ']', ',' ORDER BY ts, event_id)
-    || ']},"properties":{"surface":"' || any_value(surface) || '","distance":' || CAST(sum(distance) AS DOUBLE) || '}}' AS line
-  FROM r GROUP BY route_id, run_id)
-SELECT route_id, '{"type":"FeatureCollection","features":[' || string_agg(line, ',' ORDER BY run_id) || ']}' AS document FROM l GROUP BY route_id"""
-)
-def geojson_collection(spark, sf_dir):
-    """Each run of a surface as a line through its events, whose ids and numbers of k stand for places."""
-    e = segments(spark, sf_dir).withColumn("coordinates", F.array(F.array((F.col("event_id") % 180).cast("double"), (F.col("event_id") % 90).cast("double"))))
-    rows = runs.surface_runs(e, ORDER, "day").join(runs.run_coordinates(e, ORDER, "day"), ["route_id", "run_id"])
-    f = exports.feature("LineString", F.col("coordinates"), F.struct("surface", F.col("distance").cast("double").alias("distance")))
-    return exports.collections_of(rows.withColumn("feature", f), "feature", ["run_id"])
-
-
 @query(
     f"""SELECT event_id, {shown_sql('value', fixed_sql('(value * 100 / 1000)', 1) + " || 'km'")} AS wide, {shown_sql('value', fixed_sql('(value * 100 / 1000)', 1) + " || 'km'", False)} AS narrow,
   {shown_sql('value', "'↗' || " + fixed_sql('value', 0) + " || 'm'")} AS gain, CASE WHEN value IS NULL THEN 'N/A' WHEN value = floor(value) THEN CAST(value AS BIGINT) || '%' ELSE value || '%' END AS match
@@ -503,3 +494,6 @@ def routing_requests(spark, sf_dir):
     stops = geometry.first_last_via(e, ["ts"])
     out = routes.requests(stops, F.lit("2026-01-01").cast("timestamp"), desired_meters=F.when(F.col("route_id") % 2 == 0, 50_000.0))
     return out.select("route_id", F.to_json("request").alias("request"))
+
+
+from trackweave.plans import layers  # noqa: E402, F401  (registers its queries)

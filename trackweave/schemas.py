@@ -35,7 +35,8 @@ STEP = f"struct<start: {WARNED}, end: {ELEVATED}, via: array<{WARNED}>, distance
 LEG = f"struct<id: double, mode: string, start: {ELEVATED}, end: {ELEVATED}, stats: {_numbers(LEG_STATS)}, steps: array<{STEP}>>"
 PROPERTIES = "struct<mode: string, stress: double, slope: double, distance: double, popularity: double, surfaceSmoothness: string, water: double, greenery: double, settingsMatch: boolean>"
 FEATURE = f"struct<type: string, geometry: struct<type: string, coordinates: variant>, properties: {PROPERTIES}>"
-COLLECTION = f"struct<type: string, features: array<{FEATURE}>>"
+#: A collection or, with geometry and properties instead of features, one feature.
+COLLECTION = f"struct<type: string, features: array<{FEATURE}>, geometry: struct<type: string, coordinates: variant>, properties: {PROPERTIES}>"
 #: Six of these are numbers written as text.
 EXTRAS = (
     "struct<highwayPercentage: string, greenDistance: string, waterPercentage: string, highwayDistance: string, consumedEnergyWh: double, greenPercentage: string, "

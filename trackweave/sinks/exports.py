@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackweave import snapshots
 from trackweave.functions import text
+from trackweave.functions.geo import feature  # noqa: F401
 from trackweave.operators.runs import in_order
 
 
+# The frame of a GPX 1.1 document.
 def gpx(name: Column, distance: Column, points: Column) -> Column:
     """A GPX 1.1 document of one track; the name is escaped."""
     title = text.escaped(name)
@@ -43,26 +46,22 @@ def write_documents(documents: DataFrame, path: str) -> None:
     documents.select(F.col("document").alias("value"), "file").write.partitionBy("file").mode("overwrite").text(path)
 
 
-def feature(geometry: str, coordinates: Column, properties: Column) -> Column:
-    return F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(geometry).alias("type"), coordinates.alias("coordinates")).alias("geometry"), properties.alias("properties"))
-
-
 def collections_of(features: DataFrame, feature_column: str, order: list[str]) -> DataFrame:
     """(route_id, document): a FeatureCollection of a route's features, in order."""
     rows = features.groupBy("route_id").agg(in_order(F.col(feature_column), order).alias("features"))
     return rows.select("route_id", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("document"))
 
 
-def write_snapshot(table: DataFrame, path: str) -> None:
-    """The whole collection as JSON lines, replacing what is at path; never a path that table reads from."""
-    table.write.mode("overwrite").json(path)
+def save_permanent(tracks: DataFrame, path: str, read: int | None = None) -> int:
+    """The permanent tracks' snapshot, as a new version at path; tracks may come from there. Its number."""
+    return snapshots.save(tracks.filter("isPermanent"), path, read)
 
 
-def save_permanent(tracks: DataFrame, path: str) -> None:
-    """The permanent tracks' snapshot."""
-    write_snapshot(tracks.filter("isPermanent"), path)
+def save_all(table: DataFrame, path: str, read: int | None = None) -> int:
+    """The snapshot of a whole collection: all tracks, or the custom profiles."""
+    return snapshots.save(table, path, read)
 
 
-def clear_saved(tracks: DataFrame, path: str) -> None:
+def clear_saved(tracks: DataFrame, path: str) -> int:
     """An empty snapshot of tracks; profiles are left alone."""
-    write_snapshot(tracks.limit(0), path)
+    return snapshots.save(tracks.limit(0), path)

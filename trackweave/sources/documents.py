@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackweave import snapshots
 from trackweave.schemas import PROFILE, RESPONSE, TRACK
 
 
@@ -19,22 +20,29 @@ def responses(spark: SparkSession, path: str, multi_line: bool = True) -> DataFr
     return spark.read.schema(RESPONSE).option("mode", "PERMISSIVE").json(path, multiLine=multi_line).filter("id IS NOT NULL OR routes IS NOT NULL")
 
 
-def tracks(spark: SparkSession, path: str) -> DataFrame:
-    """Saved tracks, one a line with its ord; none is visible at first. A broken line is skipped, a missing path is empty."""
+def _saved(spark: SparkSession, path: str, fields: str, version: int | None, mode: str) -> DataFrame:
+    """Rows of a snapshot at path, or of JSON lines there, with ord.
+
+    A line is one object with its ord, or an array of objects, whose ord is the place in it.
+    """
     try:
-        rows = spark.read.schema(f"{TRACK}, ord bigint").option("mode", "DROPMALFORMED").json(path)
+        lines = spark.read.text(snapshots.folder(spark, path, version) or path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        rows = spark.createDataFrame([], f"{TRACK}, ord bigint")
-    return rows.withColumn("isVisible", F.lit(False))
+        return spark.createDataFrame([], f"{fields}, ord bigint")
+    several, options = F.ltrim("value").startswith("["), {"mode": mode}
+    item = f"struct<{fields}, ord bigint>"
+    objects = F.array(F.from_json(F.when(~several, F.col("value")), item, options))
+    rows = lines.filter(F.trim("value") != "").select(several.alias("several"), F.posexplode(F.when(several, F.from_json(F.when(several, F.col("value")), f"array<{item}>", options)).otherwise(objects)).alias("place", "item"))
+    return rows.withColumn("ord", F.when(F.col("several"), F.col("place").cast("bigint")).otherwise(F.col("item.ord"))).select(*(f"item.{f}" for f in rows.select("item.*").columns if f != "ord"), "ord")
 
 
-def profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Custom profiles, one a line with its ord; a missing path is empty, a broken line fails."""
-    try:
-        return spark.read.schema(f"{PROFILE}, ord bigint").option("mode", "FAILFAST").json(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], f"{PROFILE}, ord bigint")
+def tracks(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Saved tracks with their ord, of a snapshot or a file of lines; none is visible at first. A broken line is skipped, a missing path is empty."""
+    return _saved(spark, path, TRACK, version, "PERMISSIVE").filter("id IS NOT NULL").withColumn("isVisible", F.lit(False))
+
+
+def profiles(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Custom profiles with their ord; a missing path is empty, a broken line fails."""
+    return _saved(spark, path, PROFILE, version, "FAILFAST")
