@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackweave.operators import layers, mutations
+from trackweave.operators import asof, distance, frames, layers, mutations
 from trackweave.plans.catalogue import INTERVAL, RULES, query
+from trackweave.sinks import files
 from trackweave.sources.documents import table
 
 
@@ -108,3 +109,68 @@ SELECT id, name, price, isPermanent, isVisible, ord FROM t JOIN v USING (id)"""
 def tracks_log(spark, sf_dir):
     """The collection after all changes, those of a user spread over buckets of 512."""
     return mutations.fold(logged(spark, sf_dir), width=512)
+
+
+@query(
+    """SELECT e.user_id, e.ts, e.event_id, r.event_id AS error_id, r.value AS error_value
+FROM (SELECT * FROM events WHERE event_type <> 'error') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') r ON e.user_id = r.user_id AND e.ts >= r.ts"""
+)
+def last_error(spark, sf_dir):
+    """Every other event with the last error of its user at or before it."""
+    e, error = table(spark, sf_dir, "events"), F.col("event_type") == "error"
+    right = e.filter(error).select("user_id", "ts", F.col("event_id").alias("error_id"), F.col("value").alias("error_value"))
+    return asof.asof(e.filter(~error).select("user_id", "ts", "event_id"), right, ["user_id"], "ts", lambda t: F.date_trunc("day", t), ("error_id",))
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS start, epoch_us(ts) + CAST(value * 3600 AS BIGINT) * 1000000 AS over FROM events)
+SELECT e.event_id, count(i.event_id) AS n FROM e LEFT JOIN e i ON i.user_id = e.user_id AND e.start >= i.start AND e.start < i.over GROUP BY e.event_id"""
+)
+def under_way(spark, sf_dir):
+    """For each event, those of its user that are then under way, if an event takes as many hours as its value."""
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", t.alias("start"), (t + (F.col("value") * 3600).cast("bigint") * 1_000_000).alias("over"))
+    rows = asof.within(e.select("user_id", "event_id", F.col("start").alias("moment")), e.select("user_id", "start", "over"), ["user_id"], "moment", "start", "over", lambda m: F.floor(m / 86_400_000_000))
+    counted = rows.groupBy("event_id").agg(F.count("*").alias("n"))
+    return e.select("event_id").join(counted, "event_id", "left").select("event_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(
+    """WITH m AS (SELECT user_id AS route_id, event_id, event_id % 61 - 30 AS slope, CAST(sum(CAST(value AS DECIMAL(12,2))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) * 100 AS BIGINT) AS place FROM events)
+SELECT route_id, event_id, round(CAST(sum(slope) OVER w AS DOUBLE) / count(*) OVER w, 9) AS slope, count(*) OVER w AS n FROM m WINDOW w AS (PARTITION BY route_id ORDER BY place RANGE BETWEEN 50000 PRECEDING AND CURRENT ROW)"""
+)
+def slope_of_last_500(spark, sf_dir):
+    """Mean slope of the last 500 m before the end of each segment."""
+    s = drawn(spark, sf_dir).withColumns({"event_id": F.col("seg_idx.event_id"), "slope": F.col("slope").cast("bigint")})
+    rows = distance.running_distance(s, ["seg_idx"], "day").withColumn("place", (F.col("after") * 100).cast("bigint"))
+    out = frames.over_distance(rows.select("route_id", "event_id", "place", "slope"), ["route_id"], "place", 50_000, {"total": F.sum("slope"), "n": F.count("*")})
+    return out.select("route_id", "event_id", F.round(F.col("total").cast("double") / F.col("n"), 9).alias("slope"), "n")
+
+
+@query()
+def slope_quantiles(spark, sf_dir):
+    """Sketched quantiles of the distance of segments: of each user's surface, each user, and all."""
+    sketches = frames.quantile_sketches(drawn(spark, sf_dir), ["route_id", "surface"], F.col("distance").cast("double"), "day")
+    return sketches.select("route_id", "surface", F.kll_sketch_get_n_double("sketch").alias("n"), *(frames.quantile("sketch", q).alias(f"q{int(100 * q)}") for q in (0.1, 0.5, 0.9)))
+
+
+def _plain(x: str) -> str:
+    return f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+
+
+_CHUNK = f"'      <trkpt lat=\"' || {_plain('lat1')} || '\" lon=\"' || {_plain('lon1')} || '\"></trkpt>'"
+
+
+@query(f"""WITH {DRAWN} SELECT route_id, day, string_agg({_CHUNK}, chr(10) ORDER BY ts, event_id) || chr(10) AS text FROM seg GROUP BY route_id, day""")
+def gpx_chunks(spark, sf_dir):
+    """The points of each user's document, in chunks of a day, as they go to its file."""
+    p = drawn(spark, sf_dir).select("route_id", "seg_idx", "day", F.col("coordinates")[0][0].alias("lon"), F.col("coordinates")[0][1].alias("lat"), F.concat(F.lit("User "), F.col("route_id").cast("string")).alias("name"))
+    return files.gpx_chunks(p, ["seg_idx"], "day").filter("chunk.part = 1").select("route_id", F.col("chunk.bucket").alias("day"), "text")
+
+
+@query("""WITH n AS (SELECT c_custkey AS route_id, row_number() OVER (PARTITION BY c_nationkey) AS n, count(*) OVER (PARTITION BY c_nationkey) AS k, c_nationkey FROM customer)
+SELECT 'Nation-' || c_nationkey || CASE WHEN n > 1 THEN ' (' || (n - 1) || ')' ELSE '' END || '.gpx' AS file FROM n""")
+def file_names(spark, sf_dir):
+    """Files of tracks of which many have one name."""
+    t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("route_id"), F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string")).alias("name"))
+    return files.file_names(t, ".gpx").select("file")

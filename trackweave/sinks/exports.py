@@ -12,9 +12,12 @@ from trackweave.operators.runs import in_order
 
 
 # The frame of a GPX 1.1 document.
-def gpx(name: Column, distance: Column, points: Column) -> Column:
-    """A GPX 1.1 document of one track; the name is escaped."""
-    title = text.escaped(name)
+FOOT = "    </trkseg>\n  </trk>\n</gpx>"
+
+
+def gpx_head(name: Column, distance: Column) -> Column:
+    """What comes before the points of a GPX 1.1 document of one track; the name is escaped."""
+    title = text.escaped(F.coalesce(name, F.lit("")))
     return F.concat_ws(
         "\n",
         F.lit('<?xml version="1.0" encoding="UTF-8"?>'),
@@ -26,24 +29,21 @@ def gpx(name: Column, distance: Column, points: Column) -> Column:
         F.lit("  <trk>"),
         F.concat(F.lit("    <name>"), title, F.lit("</name>")),
         F.lit("    <trkseg>"),
-        F.array_join(points, "\n"),
-        F.lit("    </trkseg>"),
-        F.lit("  </trk>"),
-        F.lit("</gpx>"),
     )
 
 
-def gpx_documents(points: DataFrame, order: list[str], meters: Column | None = None, name: str = "name") -> DataFrame:
-    """(route_id, file, document) of points(route_id, name, lon, lat, ...); routes without points have none."""
-    line = F.concat(F.lit('      <trkpt lat="'), text.plain_number(F.col("lat")), F.lit('" lon="'), text.plain_number(F.col("lon")), F.lit('"></trkpt>'))
-    rows = points.groupBy("route_id").agg(F.first(name).alias("name"), in_order(line, order).alias("points"), (F.lit(None).cast("double") if meters is None else F.first(meters)).alias("meters"))
-    document = gpx(F.col("name"), text.distance_text(F.col("meters")), F.col("points"))
-    return rows.select("route_id", F.concat(text.slug(F.col("name")), F.lit(".gpx")).alias("file"), document.alias("document"))
+def gpx_point(lon: Column, lat: Column) -> Column:
+    return F.concat(F.lit('      <trkpt lat="'), text.plain_number(lat), F.lit('" lon="'), text.plain_number(lon), F.lit('"></trkpt>'))
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """One folder a file name, each with one document as text."""
-    documents.select(F.col("document").alias("value"), "file").write.partitionBy("file").mode("overwrite").text(path)
+def gpx_documents(points: DataFrame, order: list[str], meters: Column | None = None, name: str = "name") -> DataFrame:
+    """(route_id, file, document) of points(route_id, name, lon, lat, ...), a value a route; files.write_gpx is for routes of any size.
+
+    Routes without points have none.
+    """
+    rows = points.groupBy("route_id").agg(F.first(name).alias("name"), in_order(gpx_point(F.col("lon"), F.col("lat")), order).alias("points"), (F.lit(None).cast("double") if meters is None else F.first(meters)).alias("meters"))
+    document = F.concat_ws("\n", gpx_head(F.col("name"), text.distance_text(F.col("meters"))), F.array_join("points", "\n"), F.lit(FOOT))
+    return rows.select("route_id", F.concat(text.slug(F.col("name")), F.lit(".gpx")).alias("file"), document.alias("document"))
 
 
 def collections_of(features: DataFrame, feature_column: str, order: list[str]) -> DataFrame:
