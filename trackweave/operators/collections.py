@@ -90,14 +90,14 @@ def set_field(table: DataFrame, where: Column, field: str, value: Column) -> Dat
 
 
 def promote_copy(table: DataFrame, id: str, new_id: str, name: str) -> DataFrame:
-    """A temporary track becomes a permanent, visible one under a new id and name, at the end; the old row goes.
+    """A track is copied to a permanent, visible one under a new id and name, at the end; the old row goes if it was temporary.
 
     An id that isn't there changes nothing.
     """
     last = table.agg(F.max("ord").alias("__last"))
     fresh = table.filter(F.col("id") == id).crossJoin(F.broadcast(last)).withColumn("ord", F.col("__last") + 1).drop("__last")
     fresh = fresh.withColumns({"id": F.lit(new_id), "name": F.lit(name), "isPermanent": F.lit(True), "isVisible": F.lit(True)}).select(*table.columns)
-    return table.filter(~F.col("id").eqNullSafe(id)).unionByName(fresh)
+    return table.filter(~(F.col("id").eqNullSafe(id) & ~F.coalesce("isPermanent", F.lit(False)))).unionByName(fresh)
 
 
 def promote_in_place(table: DataFrame, id: str, name: str) -> DataFrame:

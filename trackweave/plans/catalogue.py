@@ -267,7 +267,7 @@ def hide_others(spark, sf_dir):
     return coll.others_visible(tracks(spark, sf_dir), 33).select("id")
 
 
-@query(f"WITH {TRACKS} SELECT id, isPermanent, name, ord FROM t WHERE id <> 3 UNION ALL SELECT 20000000, true, 'Saved', (SELECT max(ord) + 1 FROM t) FROM t WHERE id = 3")
+@query(f"WITH {TRACKS} SELECT id, isPermanent, name, ord FROM t WHERE id <> 3 OR isPermanent UNION ALL SELECT 20000000, true, 'Saved', (SELECT max(ord) + 1 FROM t) FROM t WHERE id = 3")
 def promote_track(spark, sf_dir):
     out = coll.promote_copy(tracks(spark, sf_dir), 3, 20_000_000, "Saved")
     return out.select(F.col("id").cast("bigint").alias("id"), "isPermanent", "name", "ord")
