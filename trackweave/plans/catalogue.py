@@ -496,4 +496,4 @@ def routing_requests(spark, sf_dir):
     return out.select("route_id", F.to_json("request").alias("request"))
 
 
-from trackweave.plans import layers  # noqa: E402, F401  (registers its queries)
+from trackweave.plans import documents, layers  # noqa: E402, F401  (register their queries)
