@@ -230,6 +230,31 @@ def test_streams(spark, tmp_path):
     assert {r.route_id: r.distance for r in live.totals(static).collect()} == {1: 63.0, 2: 1.0}
 
 
+def test_an_idle_route_closes_its_run(spark, tmp_path):
+    import time
+
+    from trackweave.streaming import live
+
+    kind, src = "route_id bigint, ts timestamp, surface string, distance double", str(tmp_path / "in")
+    write = lambda rows: spark.createDataFrame([(1, datetime(2026, 1, 1, 0, t), s, d) for t, s, d in rows], kind).coalesce(1).write.mode("append").parquet(src)
+    write([(1, "A", 1.0), (2, "B", 2.0)])
+    query = live.closed_runs(spark.readStream.schema(kind).parquet(src), idle_ms=1500).writeStream.format("memory").queryName("idle_out").outputMode("append").start()
+    rows = lambda: sorted((r.run_id, r.surface, r.distance, r.total) for r in spark.table("idle_out").collect())
+
+    def wait(n):
+        until = time.time() + 60
+        while len(rows()) < n and time.time() < until:
+            time.sleep(0.3)
+        return rows()
+
+    try:
+        assert wait(2) == [(0, "A", 1.0, 1.0), (1, "B", 2.0, 3.0)]
+        write([(3, "B", 4.0)])
+        assert wait(3)[2] == (2, "B", 4.0, 7.0)
+    finally:
+        query.stop()
+
+
 def test_multi_lines_keep_all_vertices(spark, tmp_path):
     geometry_of = lambda kind, c: {"type": "Feature", "geometry": {"type": kind, "coordinates": c}, "properties": {"surfaceSmoothness": "UNKNOWN", "distance": 1}}
     features = [geometry_of("MultiLineString", [[[14.1, 50.1], [14.2, 50.2]], [[14.3, 50.3]]]), geometry_of("LineString", [[14.4, 50.4], [14.5, 50.5]]), geometry_of("Point", [1, 2]), geometry_of("LineString", [])]

@@ -13,14 +13,21 @@ RUN = "route_id bigint, run_id bigint, surface string, distance double, n_segmen
 STATE = "run_id bigint, surface string, distance double, n_segments bigint, total double"
 
 
-def closed_runs(segments: DataFrame) -> DataFrame:
+def closed_runs(segments: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Runs of a stream of segments(route_id, ts, surface, distance), each when the next one begins.
 
+    idle_ms: a route that has had no segment for so long has its open run closed too; what comes later is another run.
+
     Segments of a route have to come in the order of their times from batch to batch; within a
     batch they are sorted. State is one open run a route, so it is small however long a route is.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            run, surface, distance, n, total = state.get
+            state.update((run, surface, 0.0, 0, total))
+            yield pd.DataFrame([(key[0], run, surface, distance, n, total)] if n else [], columns=[x.split()[0] for x in RUN.split(", ")])
+            return
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
         run, surface, distance, n, total = state.get if state.exists else (-1, None, 0.0, 0, 0.0)
         surfaces = rows["surface"].where(rows["surface"].notna(), None)
@@ -38,9 +45,11 @@ def closed_runs(segments: DataFrame) -> DataFrame:
             d = float(part["distance"].sum())
             distance, n, total = distance + d, n + len(part), total + d
         state.update((int(run), surface, distance, int(n), total))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[x.split()[0] for x in RUN.split(", ")])
 
-    return segments.groupBy("route_id").applyInPandasWithState(step, RUN, STATE, "append", GroupStateTimeout.NoTimeout)
+    return segments.groupBy("route_id").applyInPandasWithState(step, RUN, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def totals(segments: DataFrame) -> DataFrame:
