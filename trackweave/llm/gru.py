@@ -16,11 +16,33 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def forward(inputs, h: np.ndarray, u: np.ndarray, keep: bool = False, alive: np.ndarray | None = None):
+def by_exponent(x: np.ndarray) -> np.ndarray:
+    """As sigmoid(), in place; exp takes a third of the time of tanh."""
+    np.negative(x, out=x)
+    np.minimum(x, F32(60), out=x)  # exp stays finite
+    np.exp(x, out=x)
+    x += F32(1)
+    return np.reciprocal(x, out=x)
+
+
+def tanh_by_exponent(x: np.ndarray) -> np.ndarray:
+    """tanh as 2 sigmoid(2 x) - 1, in place."""
+    x += x
+    by_exponent(x)
+    x += x
+    x -= F32(1)
+    return x
+
+
+def in_place_tanh(x: np.ndarray) -> np.ndarray:
+    return np.tanh(x, out=x)
+
+
+def forward(inputs, h: np.ndarray, u: np.ndarray, keep: bool = False, alive: np.ndarray | None = None, gate=sigmoid, squash=in_place_tanh):
     """States (steps, lanes, H) of z, r, n gates over inputs(steps, lanes, 3H), from state h.
 
     inputs holds the projected inputs with biases. alive(steps, lanes) marks steps that count;
-    elsewhere the state stays. keep also returns what backward() needs.
+    elsewhere the state stays. keep also returns what backward() needs. gate and squash work in place.
     """
     steps, lanes, size = len(inputs), len(h), len(u)
     out = np.empty((steps, lanes, size), F32)
@@ -28,11 +50,11 @@ def forward(inputs, h: np.ndarray, u: np.ndarray, keep: bool = False, alive: np.
     for t in range(steps):
         x = inputs[t]
         a = h @ u
-        g = sigmoid(x[:, : 2 * size] + a[:, : 2 * size])
+        g = gate(x[:, : 2 * size] + a[:, : 2 * size])
         z, r = g[:, :size], g[:, size:]
         n = a[:, 2 * size :] * r
         n += x[:, 2 * size :]
-        np.tanh(n, out=n)
+        squash(n)
         new = h - n
         new *= z
         new += n
