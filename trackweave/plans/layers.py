@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackweave.operators import asof, distance, frames, layers, mutations
+from trackweave.operators import asof, distance, frames, layers, mutations, nearest
 from trackweave.plans.catalogue import INTERVAL, RULES, query
 from trackweave.sinks import files
 from trackweave.sources.documents import table
@@ -174,3 +174,17 @@ def file_names(spark, sf_dir):
     """Files of tracks of which many have one name."""
     t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("route_id"), F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string")).alias("name"))
     return files.file_names(t, ".gpx").select("file")
+
+
+_SPREAD = "({id} * {a} % 36000) / 100 - 180 AS lon{n}, ({id} * {b} % 17000) / 100 - 85 AS lat{n}"
+
+
+@query(
+    f"""WITH q AS (SELECT s_suppkey, {_SPREAD.format(id="s_suppkey", a=7127, b=3571, n=1)} FROM supplier), p AS (SELECT c_custkey, {_SPREAD.format(id="c_custkey", a=7919, b=4801, n=2)} FROM customer),
+d AS (SELECT s_suppkey, c_custkey, round(2 * 6371000.0 * atan2(sqrt({_H}), sqrt(1 - ({_H}))), 3) AS meters FROM q, p)
+SELECT s_suppkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY meters, c_custkey) AS rank, c_custkey, meters FROM d QUALIFY rank <= 5"""
+)
+def nearest_places(spark, sf_dir):
+    """The five nearest customers of every supplier, both spread over the globe by their keys."""
+    spread = lambda t, k, a, b: table(spark, sf_dir, t).select(k, ((F.col(k) * a % 36000) / 100 - 180).alias("lon"), ((F.col(k) * b % 17000) / 100 - 85).alias("lat"))
+    return nearest.nearest(spread("supplier", "s_suppkey", 7127, 3571), spread("customer", "c_custkey", 7919, 4801), 5, "s_suppkey", "c_custkey")
