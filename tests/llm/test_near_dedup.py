@@ -86,3 +86,35 @@ def test_many_copies_around_one_passage(spark):
     rows = [(i, f"{passage} " + " ".join(f"q{i // 4}_{j}" for j in range(40 if i % 4 else 41))) for i in range(200)]
     got = minhash.near_duplicates(frame(spark, rows), size=2).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(rows, 2)
+
+
+def test_hot_keys_are_dealt_over_tasks(spark):
+    """A text that most rows repeat, a hub and a component of thousands give the same rows as if they were small."""
+    rng = random.Random(5)
+    base = [f"h{i}" for i in range(100)]
+    rows = [(i, " ".join(base)) for i in range(0, 6000, 2)]
+    for i in range(1, 4000, 2):  # near the hub: each another text of its own
+        words = list(base)
+        words[rng.randrange(100)] = f"n{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(i, f"alone {i} in its words {i}") for i in range(7001, 7201)]
+    got = {r.doc_id: r for r in minhash.near_duplicates(frame(spark, rows), size=2).collect()}
+    assert len(got) == len(rows)
+    assert {got[i].component_id for i, t in rows if t.startswith(("h", "n"))} == {0}
+    assert all(got[i].component_id == i and got[i].kept for i in range(7001, 7201))
+    assert {got[i].class_id for i in range(0, 6000, 2)} == {0} and got[1].class_id == 1
+
+
+def test_components_of_long_chains_and_stars(spark):
+    rng = random.Random(8)
+    chain = [(i, i + 1) for i in range(300)]
+    star = [(5000, 5001 + i) for i in range(3000)]
+    bridge = [(300, 7000)]
+    names = list(range(9000))
+    rng.shuffle(names)
+    edges = [(names[a], names[b]) for a, b in chain + star + bridge] + [(names[8500], names[8501])]
+    got = {r.id: r.comp for r in minhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    joined = {names[i] for pair in chain + star + bridge for i in pair}
+    assert {got[i] for i in joined} == {min(joined)}
+    assert got[names[8500]] == got[names[8501]] == min(names[8500], names[8501])
+    assert len(got) == len(joined) + 2

@@ -12,9 +12,12 @@ several components are joined once more, on their rarest shingles, which misses
 wanted similarity; pairs within a component need no further look. No bucket is capped. Links count only after an exact check on the full shingle sets.
 
 Full sets are cut in one second pass over the texts, where these lie, and only of texts that share a
-bucket: a bitmap of BITMAP_BITS bits, whatever the number of texts, says which. Past its room it lets
-more texts through, and nothing else changes. Texts are never shuffled, and what joins by a bucket's
-centre is dealt over SALTS tasks for each centre.
+bucket: a bitmap of eight bits a wanted text, at most MOST_BITS in all, says which. Past its room it lets
+more texts through, and nothing else changes. Texts are never shuffled.
+
+One text copied everywhere, one bucket, one centre, one component or one shingle may hold a third of all
+rows. What joins by a bucket's centre is dealt over SALTS tasks for each centre; each other key with a
+thousandth of the rows is marked, its rows are dealt over as many tasks, and the row they meet is copied.
 """
 
 from __future__ import annotations
@@ -27,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import slices, table, written
+from trackweave.llm.common import HOT, joined_to_one, slices, table, written
 from trackweave.llm.ragged import U, Words, mix, shingles
 
 ROWS, BANDS = 5, 36
-#: Bits of the map of ids whose sets are wanted (2 ** BITMAP_BITS / 8 bytes are sent to every task).
-BITMAP_BITS = 26
+#: The map of ids whose sets are wanted has 2 ** LEAST_BITS to 2 ** MOST_BITS bits (64 MB), which every task reads.
+LEAST_BITS, MOST_BITS = 16, 29
 #: Tasks that the pairs of one centre are dealt over.
 SALTS = 64
 #: Bytes of text that are cut into shingles at a time.
@@ -115,7 +118,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     An id with several texts has several versions. Some other ids may be among them.
     """
-    bits = BITMAP_BITS
+    bits = min(MOST_BITS, max(LEAST_BITS, (8 * wanted.count()).bit_length()))
     sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,15 +136,21 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return written(own.mapInArrow(run, "id bigint, version bigint, shingles array<bigint>"), "sets")
 
 
+def hot(df: DataFrame, key: str) -> DataFrame:
+    """The values of key that hold a thousandth of df's rows or more: at most HOT of them."""
+    return df.groupBy(key).agg(F.count("*").alias("k")).filter(F.col("k") * HOT >= df.count())
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have a similarity of percent / 100 or more.
 
     A centre a may have any number of partners b, so its set is copied to as many of SALTS places as
-    they need and meets them there.
+    they need and meets them there. A partner of many centres is dealt likewise.
     """
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
     places = dealt.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = dealt.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(places, ["a", "salt"])
+    partners = joined_to_one(dealt, sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b", hot(pairs, "b"), F.xxhash64("a"))
+    both = partners.join(places, ["a", "salt"])
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
@@ -158,16 +167,20 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
     """(id, comp) of every id in edges(a, b): comp is the smallest id it reaches.
 
     Least labels spread along edges, then each label jumps to its own label, until nothing
-    changes; the rounds grow with the logarithm of the longest chain. Each round is a written
-    table, so lineage stays short and a lost executor costs one round.
+    changes; the rounds grow with the logarithm of the longest chain. Each round is written
+    tables, so lineage stays short and a lost executor costs one round. The edges of a hub and
+    the members of a large component are dealt over several tasks.
     """
     both = written(edges.union(edges.select("b", "a")).toDF("a", "b").distinct(), "edges")
+    hubs = written(hot(both, "b"), "hubs")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), name)
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        spread = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
-        jump = labels.select(F.col("id").alias("mid"), F.col("comp").alias("far"))
-        new = written(spread.join(jump, "mid", "left").select("id", "old", F.least("mid", "far").alias("comp")), name)
+        ends = joined_to_one(both, labels.select(F.col("id").alias("b"), "comp"), "b", hubs, F.xxhash64("a"))
+        near = ends.groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
+        spread = written(labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("mid")), "spread")
+        jump = labels.select(F.col("id").alias("mid"), F.col("comp").alias("far"))  # labels are ids, so each has a row
+        far = joined_to_one(spread, jump, "mid", hot(spread, "mid"), F.xxhash64("id"))
+        new = written(far.select("id", "old", F.least("mid", "far").alias("comp")), name)
         if new.filter("old <> comp").isEmpty():
             return new.select("id", "comp")
         labels = new.select("id", "comp")
@@ -177,7 +190,8 @@ def across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components of rest(rep, comp) that can be links, all of them.
 
     Two sets of similarity p / 100 share one of the n - ceil(p n / 100) + 1 rarest shingles of
-    either; joined on these, texts don't meet over a passage that many of them hold.
+    either; joined on these, texts don't meet over a passage that many of them hold. Shingles of one
+    component alone are left out before the join, and those that still hold many sets are dealt over tasks.
     """
     sets = sets.join(rest.select(F.col("rep").alias("id")), "id", "left_semi")
     each = sets.select("id", "version", F.explode("shingles").alias("x"))
@@ -185,12 +199,14 @@ def across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     head = F.slice("xs", F.lit(1), F.col("n").cast("int") - F.floor((percent * F.col("n") + 99) / 100).cast("int") + 1)
     keys = rare.join(rest.withColumnRenamed("rep", "id"), "id").select("id", "comp", "n", F.posexplode(head["x"]).alias("at", "x"))
     keys = written(keys, "rare")
+    held = written(keys.groupBy("x").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("x"), "shared")
+    keys = written(joined_to_one(keys, held, "x", hot(keys, "x"), F.xxhash64("id")), "rare")
     left, right = (keys.select("x", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "comp", "at"))) for s in "ab")
     other = (F.col("comp_a") != F.col("comp_b")) & (F.col("id_a") < F.col("id_b"))
     # from the first shared shingle on, no more can be shared than what either set has left
     left_over = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     enough = (100 + percent) * left_over >= percent * (F.col("n_a") + F.col("n_b"))
-    return left.join(right, "x").filter(other & enough).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    return joined_to_one(left, right, "x", hot(keys, "x"), F.xxhash64("id_a")).filter(other & enough).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -209,12 +225,16 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, text: str =
     sk = written(sketched(docs, size), "sketches")
     full = sk.filter("id IS NOT NULL AND n_shingles > 0")
     docs = one_text_a_row(docs, full)
-    classes = written(full.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "classes")
-    members = full.join(classes.select("set_key", "rep"), "set_key").select("id", "rep").distinct()
+    classes = written(full.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"), F.count("*").alias("copies")), "classes")
+    copied = classes.filter(F.col("copies") * HOT >= full.count())
+    members = written(joined_to_one(full.select("id", "set_key"), classes.select("set_key", "rep"), "set_key", copied, F.xxhash64("id")).select("id", "rep").distinct(), "members")
 
     buckets = classes.select("rep", "n", F.explode("bands").alias("band"))
-    centres = buckets.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("high")).filter("c.rep < high").select("band", F.col("c.rep").alias("low"), F.col("c.n").alias("low_n"))
-    shared = written(buckets.join(centres, "band"), "buckets")
+    centres = buckets.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("high"), F.count("*").alias("k")).filter("c.rep < high")
+    centres = written(centres.select("band", F.col("c.rep").alias("low"), F.col("c.n").alias("low_n"), "k"), "centres")
+    # a class is in BANDS buckets, so at most BANDS * HOT of them hold a thousandth of the classes
+    large = centres.filter(F.col("k") * HOT >= classes.count())
+    shared = written(joined_to_one(buckets, centres.drop("k"), "band", large, F.xxhash64("rep")), "buckets")
     may = 100 * F.least("n", "low_n") >= percent * F.greatest("n", "low_n")
     tried = written(shared.filter((F.col("rep") != F.col("low")) & may).select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     sets = sets_of(docs, shared.select(F.col("rep").alias("id")), size)
@@ -222,9 +242,9 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, text: str =
     comps = components(edges)
 
     # buckets that still hold two components: the pairs across them that nobody has looked at
-    now = shared.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    now = shared.select("rep", "band").join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = now.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("k")).filter("c1 < c2 AND k > 2").select("band")
-    rest = written(now.join(mixed, "band", "left_semi").select("rep", "comp").distinct(), "rest")
+    rest = written(joined_to_one(now, mixed, "band", large, F.xxhash64("rep")).select("rep", "comp").distinct(), "rest")
     more = across(rest, sets, percent).join(tried, ["a", "b"], "left_anti")
     more = written(more, "pairs")
     if not more.isEmpty():
@@ -237,7 +257,8 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, text: str =
         same = members.join(repeated, "id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
         comps = components(edges.union(same.filter("a <> b")))
 
-    found = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").groupBy("id").agg(F.min("rep").alias("class_id"), F.min(F.coalesce("comp", "rep")).alias("component"))
+    ends = classes.select("rep").distinct().join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
+    found = joined_to_one(members, ends, "rep", copied.select("rep").distinct(), F.xxhash64("id")).groupBy("id").agg(F.min("rep").alias("class_id"), F.min("comp").alias("component"))
     out = sk.select("id", "n_shingles").join(found, "id", "left")
     linked = F.col("n_shingles") > 0
     out = out.select("id", "n_shingles", F.when(linked, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), F.when(linked, F.col("component")).otherwise(F.col("id")).alias("component_id"))
