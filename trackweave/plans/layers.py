@@ -129,10 +129,11 @@ SELECT e.event_id, count(i.event_id) AS n FROM e LEFT JOIN e i ON i.user_id = e.
 def under_way(spark, sf_dir):
     """For each event, those of its user that are then under way, if an event takes as many hours as its value."""
     t = F.unix_micros(F.col("ts").cast("timestamp"))
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", t.alias("start"), (t + (F.col("value") * 3600).cast("bigint") * 1_000_000).alias("over"))
-    rows = asof.within(e.select("user_id", "event_id", F.col("start").alias("moment")), e.select("user_id", "start", "over"), ["user_id"], "moment", "start", "over", lambda m: F.floor(m / 86_400_000_000))
-    counted = rows.groupBy("event_id").agg(F.count("*").alias("n"))
-    return e.select("event_id").join(counted, "event_id", "left").select("event_id", F.coalesce("n", F.lit(0)).alias("n"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", t.alias("start"), (t + F.rint(F.col("value") * 3600).cast("bigint") * 1_000_000).alias("over"))
+    rows = asof.within(e.select("user_id", "event_id", F.col("start").alias("moment")), e.filter("event_id IS NOT NULL").select("user_id", "start", "over"), ["user_id"], "moment", "start", "over", lambda m: F.floor(m / 86_400_000_000))
+    # rows of one id, or without one, are one row of the result
+    each = rows.select("event_id", F.lit(1).alias("n")).unionByName(e.select("event_id", F.lit(0).alias("n")))
+    return each.groupBy("event_id").agg(F.sum("n").alias("n"))
 
 
 @query(
