@@ -13,7 +13,7 @@ import tiktoken
 from cases import TEXTS, frame
 from tokenizers import Tokenizer
 
-from trackweave.llm import byte_bpe, token_counts, token_store
+from trackweave.llm import byte_bpe, pretokens, token_counts, token_store
 from trackweave.llm.common import new_path
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -64,6 +64,31 @@ def test_every_token_of_the_vocabulary_comes_back(ranks):
         assert enc.word(word) == ranks._core_bpe.encode_single_piece(word)
 
 
+def test_words_of_a_batch_are_walked_in_step(ranks):
+    """One pass of the automaton serves all new words of a batch, and gives what each word gives alone."""
+    enc = byte_bpe.Encoder(RANKS)
+    rng = random.Random(4)
+    tokens = list(enc.rank)
+    words = [b"", b"a", *(bytes(rng.choice(b"aab e") for _ in range(rng.randrange(1, byte_bpe.LONG))) for _ in range(500)), *(rng.randbytes(rng.randrange(1, byte_bpe.LONG)) for _ in range(500))]
+    words += [b"".join(rng.choice(tokens) for _ in range(rng.randrange(1, 6))) for _ in range(3000)]
+    assert [np.frombuffer(x, "<i4").tolist() for x in enc.in_step(words)] == [ranks._core_bpe.encode_single_piece(w) if w else [] for w in words]
+    searched = []
+    longest = enc.longest
+    enc.longest = lambda data: (searched.append(data), longest(data))[1]
+    texts = [" ".join("".join(rng.choice("abcdefgh-") for _ in range(9)) for _ in range(200)) for _ in range(5)]
+    assert [np.frombuffer(x, "<i4").tolist() for x in enc.texts(texts)] == [ranks.encode_ordinary(t) for t in texts]
+    assert len(searched) == 1
+
+
+def test_pieces_of_letters_are_not_split_again(monkeypatch):
+    texts = ["the cat's don't  sat \n on  caf\u00e9 x1 a-b \u00aa\u02b0 it's", "plain words only", "", " ", "'ll ll"]
+    want = [pretokens.PATTERN.findall(t) for t in texts]
+    assert [[w for p in pretokens.words_of([t]) for w in p] for t in texts] == want
+    assert pretokens.words_of([" cat", "cat", " cat,", "it's"]) == [[" cat"], ["cat"], [" cat", ","], ["it", "'s"]]
+    monkeypatch.setattr(pretokens, "PATTERN", None)
+    assert pretokens.words_of([" cat", "Cat"]) == [[" cat"], ["Cat"]]
+
+
 def test_store_round_trip(spark, sf_dir, library):
     for df in (documents(spark, sf_dir), frame(spark)):
         path = new_path(spark, "store")

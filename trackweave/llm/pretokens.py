@@ -15,6 +15,11 @@ PATTERN = regex.compile(public_tokenizers.PATTERN)
 CACHE_ENTRIES = 300_000
 
 
+def words_of(pieces: list[str]) -> list[list[str]]:
+    """PATTERN's matches of each piece; ASCII letters, with a space before them or not, are one match."""
+    return [[p] if p.isascii() and (p[1:] if p[:1] == " " else p).isalpha() else PATTERN.findall(p) for p in pieces]
+
+
 class Memo:
     """Values of pieces, made for all new ones of a batch at once and kept up to a bound."""
 
@@ -32,7 +37,7 @@ class Memo:
         parts = [t.split(" ") for t in texts]
         first, rest = [p[0] for p in parts], [p[1:] for p in parts]
         spaced = set().union(*rest).difference(self.spaced)
-        bad = {x for x in (*spaced, *first) if not x or x[0].isspace() or x[-1].isspace()}
+        bad = {x for x in (*spaced, *first) if not x or len(x.strip()) < len(x)}
         out = [([f] if f else [], r) for f, r in zip(first, rest, strict=True)]
         if bad:
             for i, p in enumerate(parts):
