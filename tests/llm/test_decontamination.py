@@ -127,6 +127,31 @@ def test_an_instruction_of_all_items_makes_no_leak(spark):
     assert set(got) == {(100, 7)} and got[100, 7].coverage == 1 and len(kept) == 60
 
 
+def invented(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+def test_a_passage_that_many_items_share_is_found(spark):
+    """No number of items that hold a window drops it: a passage asked about by 20 items is a leak of each, also in a benchmark of these alone."""
+    rng = random.Random(10)
+    passage = invented(rng, 40)
+    items = [(i, passage + " " + invented(rng, 12)) for i in range(20)]
+    docs = [(1, invented(rng, 30) + " " + passage + " " + invented(rng, 30)), (2, invented(rng, 60)), (3, invented(rng, 9) + " " + items[4][1])]
+    for others in ([], [(100 + i, invented(rng, 30)) for i in range(30)]):
+        got, kept = found(spark, docs, items + others)
+        assert set(got) == {(d, i) for d in (1, 3) for i in range(20)} and kept == ["2"]
+        assert got[1, 0].n_matched == 33 and got[1, 0].n_windows == 45 and got[3, 4].coverage == 1
+
+
+def test_a_short_text_of_a_minority_of_items_counts(spark):
+    """What 20 of 50 items share is no instruction, though it is the smaller part of each."""
+    rng = random.Random(11)
+    shared = invented(rng, 18)
+    items = [(i, shared + " " + invented(rng, 24)) for i in range(20)] + [(100 + i, invented(rng, 30)) for i in range(30)]
+    got, kept = found(spark, [(1, invented(rng, 30) + " " + shared), (2, invented(rng, 30))], items)
+    assert set(got) == {(1, i) for i in range(20)} and got[1, 0].n_matched == 11 and kept == ["2"]
+
+
 def test_items_of_one_template_are_one_class(spark):
     item = "first take {} cups of flour and stir {} times then wait and add {} eggs to the bowl on the old table"
     items = [(i, item.format(i + 2, i + 40, i + 90)) for i in range(40)]

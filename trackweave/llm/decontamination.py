@@ -10,8 +10,9 @@ occurrence of the item, told apart by how far its windows are moved, and the bes
 copies with other numbers each agree only with themselves. Windows of little but placeholders keep their units, and count with other
 numbers only in an occurrence that holds most of the item, word by word (signs between numbers are not seen); those of nothing else are hashed with their values. Items shorter than a window are compared at their own length.
 
-Items of one template are a class, and only windows that few classes hold link it to documents, so an instruction that all questions
-of a benchmark share makes no leak and no pairs of all documents and all items.
+Items of one template are a class. Every window of an item links it to documents, however many others hold it too, but for an instruction:
+windows that most of a benchmark's classes hold and that are the smaller part of the item. These make no leak and no pairs of all
+documents and all items; the item is judged by its larger part.
 
 A bitmap of fixed size over the items' window hashes, whatever their number, lets tasks pass on
 only the windows that can meet an item; the join itself is Spark's and exact.
@@ -41,8 +42,10 @@ SHARE, MANY = 0.3, 8
 MOVED = 2
 #: Share of an item's windows at one distance that makes windows of little but placeholders count with other numbers.
 ALIKE = 0.8
-#: A window that more classes of items hold is none's own.
+#: A window that more than half of the classes of items hold is an instruction's, if it's more than so many classes.
 COMMON = 16
+#: An item of which this share is instruction is judged by all of it.
+SAID = 0.5
 #: What a document's matches are counted over: all of it, each occurrence of an item, each distance between item and text.
 WHOLE, OCCURRENCE, STRICT = 0, 1, 2
 BITMAP_BITS = 23
@@ -256,8 +259,8 @@ def classes_of(benchmark: DataFrame, text: str = "text", key: str = "item_id", s
 
     Items whose windows are the same, one after the other, are a class, be their values equal or not; texts that share an item's id are items of
     their own. members: class, item, of (the class's item of the smallest id), slots_hash, one row an item. totals: class, n_windows, n_plain, literals. theirs: class, window,
-    place, item_slots, words, own windows of the item that stands for its class. A window that more than COMMON classes hold
-    is no class's own and plays no part, unless a class has none that fewer hold.
+    place, item_slots, words, own windows of the item that stands for its class: all but an instruction's, which more than half of the
+    classes (and more than COMMON) hold, in items of which less than SAID is instruction. No other number of holders drops a window.
     """
     rows = windows_of(benchmark, text, key, size=size)
     whole = F.array_sort(F.collect_list(F.struct("at", "window", "slots", "plain", "words", "literals")))
@@ -268,9 +271,9 @@ def classes_of(benchmark: DataFrame, text: str = "text", key: str = "item_id", s
     stands = texts.join(first.select("class", F.col("first.item").alias("i"), F.col("first.text_hash").alias("h")), "class").filter(F.col("item").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")))
     windows = written(stands.select("class", F.explode("w").alias("x")).select("class", "x.*"), "classes")
     held = windows.select("class", "window").distinct().groupBy("window").agg(F.count("*").alias("held"))
-    rated = windows.join(held, "window")
-    least = rated.groupBy("class").agg(F.min("held").alias("least"))
-    theirs = written(rated.join(least, "class").filter(F.col("held") <= F.greatest(F.col("least"), F.lit(COMMON))).select("class", "window", F.col("at").alias("place"), F.col("slots").alias("item_slots"), "plain", "words", "literals"), "own")
+    rated = windows.join(held.withColumn("instructs", F.col("held") > max(COMMON, windows.select("class").distinct().count() // 2)), "window")
+    said = rated.groupBy("class").agg(F.avg(F.col("instructs").cast("int")).alias("said"))
+    theirs = written(rated.join(said, "class").filter(~F.col("instructs") | (F.col("said") >= SAID)).select("class", "window", F.col("at").alias("place"), F.col("slots").alias("item_slots"), "plain", "words", "literals"), "own")
     totals = theirs.groupBy("class").agg(F.count("*").alias("n_windows"), F.count_if("plain").alias("n_plain"), F.max("literals").alias("literals"))
     return members, totals, theirs.drop("plain", "literals")
 
@@ -297,7 +300,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "d
     seen = found.groupBy("window").agg(F.count("*").alias("n"))
     hot = seen.filter(F.col("n") * HOT >= found.count())
     tight = F.col("plain") | (F.col("slots") == F.col("item_slots"))
-    # a window has at most COMMON classes, but for those with none that fewer hold
+    # a window has as many rows as classes hold it, which is as many links
     met = joined_to_one(found.drop("words", "literals"), theirs.drop("words"), "window", hot, F.xxhash64("text_hash", "at"))
     both = written(met.filter(F.size("slots") == F.size("item_slots")).withColumn("tight", tight).join(totals.select("class", "n_windows", F.col("literals").alias("item_literals")), "class"), "matches")
 
