@@ -1,6 +1,7 @@
 """The pipeline's stages, each against what it was given."""
 
 import base64
+import random
 from importlib import import_module
 
 import public_tokenizers
@@ -67,3 +68,13 @@ def test_empty_table(spark, sf_dir):
 def test_run(spark, sf_dir):
     rows = pipeline.run(spark, sf_dir).collect()
     assert 0 < len(rows) < spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_a_passage_of_many_items_is_dropped(spark, tmp_path):
+    """The third stage drops what holds a passage that more than 16 items share."""
+    rng = random.Random(12)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage = say(40)
+    spark.createDataFrame([(i, passage + " " + say(12)) for i in range(20)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, say(20) + " " + passage, "en", "s", 1), (2, say(60), "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert [r.doc_id for r in pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path)).collect()] == [2]
