@@ -43,9 +43,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, be it with other numbers, names or units."""
+    """Documents that hold no benchmark item, nor the windows that make one by number or share, whoever else holds them; be it with other numbers, names or units."""
     small_batches(spark)
-    return decontamination.clean(docs, written(decontamination.leaks(docs, table(spark, sf_dir, "benchmark")), "leaks"))
+    return decontamination.clean(docs, written(decontamination.links(docs, table(spark, sf_dir, "benchmark")), "leaks"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,6 +152,43 @@ def test_a_short_text_of_a_minority_of_items_counts(spark):
     assert set(got) == {(1, i) for i in range(20)} and got[1, 0].n_matched == 11 and kept == ["2"]
 
 
+def windows_held(items, text):
+    """Places of each item's windows that a text holds with consistent values, and of how many windows, whoever else holds them."""
+    mine = windows_of(template(text))
+    slots = lambda w: [v for k, v in w if k != "w"]
+    at = {}
+    for p, w in mine:
+        at.setdefault(shape(w), []).append((p, slots(w)))
+    return {i: (consistent([(p, slots(w), b) for p, w in ws for _, b in at.get(shape(w), ())]), len(ws)) for i, ws in ((i, windows_of(template(t))) for i, t in items)}
+
+
+def test_no_document_is_lost_to_an_instruction(spark):
+    """Windows of an instruction count like others: alone as one row of the document, beside others of the item with these."""
+    rng = random.Random(13)
+    say = invented(rng, 9) + " 4 or 5 " + invented(rng, 9)
+    words, said = say.split(), 14  # windows
+    items = [(i, say + " " + invented(rng, 24 + i % 3 * 8)) for i in range(24)] + [(100 + i, invented(rng, 30)) for i in range(9)]
+    piece = lambda i, n: " ".join(items[i][1].split()[21 : 21 + n])
+    rows = [(0, invented(rng, 20) + " " + say + " " + invented(rng, 20)), (1, say.replace("4", "7"))]
+    rows += [(2, items[7][1]), (3, " ".join(words[:12]) + " and " + piece(5, 11) + " " + invented(rng, 5)), (4, " ".join(words[:12])), (5, piece(5, 11))]
+    rows += [(6, " ".join(words[:14]) + " and " + piece(6, 8)), (7, " ".join(words[:15]) + " " + invented(rng, 5)), (8, say + " and " + piece(8, 8)), (9, invented(rng, 40))]
+    for k in range(10, 60):
+        i, a, n = rng.randrange(24), rng.randrange(6), rng.randrange(6, 18)
+        rows.append((k, " ".join(words[a : a + rng.randrange(6, 18)]) + " and " + piece(i, n) + " " + invented(rng, 9)))
+    out = d.links(frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    got, heard = {(int(r.doc_id), r.item_id) for r in out if r.kind != "instruction"}, {int(r.doc_id) for r in out if r.kind == "instruction"}
+    for k, text in rows:
+        enough = {i for i, (places, n) in windows_held(items, text).items() if len(places) >= min(d.SHARE * n, d.MANY)}
+        alone = {i for i, (places, n) in windows_held(items, text).items() if i < 100 and len({p for p in places if p >= said}) >= min(d.SHARE * (n - said), d.MANY)}
+        assert (k in heard) == (len(next(iter(windows_held(items[:1], text).values()))[0] & set(range(said))) >= 8)
+        assert {i for j, i in got if j == k} == alone | (set() if k in heard else enough), k
+        assert not enough or k in heard or enough <= {i for j, i in got if j == k}
+    assert {0, 1, 2, 7, 8} <= heard and {(2, 7), (3, 5), (6, 6)} <= got and not {3, 6} & heard and not {4, 5, 9} & (heard | {k for k, _ in got})
+    whole = next(r for r in out if r.doc_id == 2 and r.item_id == 7)
+    assert whole.coverage == 1 and whole.n_windows == said + 24 + 7 % 3 * 8 and whole.kind == "exact"
+    assert {r.item_id for r in out if r.kind == "instruction"} == {0} and sum(r.kind == "instruction" for r in out) == len(heard)
+
+
 def test_items_of_one_template_are_one_class(spark):
     item = "first take {} cups of flour and stir {} times then wait and add {} eggs to the bowl on the old table"
     items = [(i, item.format(i + 2, i + 40, i + 90)) for i in range(40)]

@@ -78,3 +78,18 @@ def test_a_passage_of_many_items_is_dropped(spark, tmp_path):
     spark.createDataFrame([(i, passage + " " + say(12)) for i in range(20)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([(1, say(20) + " " + passage, "en", "s", 1), (2, say(60), "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert [r.doc_id for r in pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path)).collect()] == [2]
+
+
+def test_what_most_items_share_is_dropped(spark, tmp_path):
+    """The third stage drops what holds eight windows of an item, also where all items share these and they are its smaller part."""
+    rng = random.Random(14)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    shared = say(18)
+    items = [(i, shared + " " + say(24)) for i in range(20)]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    own = items[3][1].split()[18:]
+    parts = " ".join([*shared.split()[:11], "and", *own[:11]])  # four windows of each
+    texts = [(1, say(20) + " " + shared), (2, say(60)), (3, parts), (4, " ".join(shared.split()[:11])), (5, " ".join(own[:11])), (None, shared), (None, say(30))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["2", "4", "5", "None"] and shared not in {r.text for r in kept}

@@ -10,9 +10,11 @@ occurrence of the item, told apart by how far its windows are moved, and the bes
 copies with other numbers each agree only with themselves. Windows of little but placeholders keep their units, and count with other
 numbers only in an occurrence that holds most of the item, word by word (signs between numbers are not seen); those of nothing else are hashed with their values. Items shorter than a window are compared at their own length.
 
-Items of one template are a class. Every window of an item links it to documents, however many others hold it too, but for an instruction:
-windows that most of a benchmark's classes hold and that are the smaller part of the item. These make no leak and no pairs of all
-documents and all items; the item is judged by its larger part.
+Items of one template are a class. Every window of an item links it to documents, however many others hold it too. An instruction
+(windows that most of a benchmark's classes hold and that are the smaller part of the item) is a class of its own: a document that
+holds enough of it has one row with it instead of one with each item, and its windows count with an item where the document holds
+others of the item as well. So a document that holds the share or number of any item's windows is always found, without
+pairs of all documents and all items.
 
 A bitmap of fixed size over the items' window hashes, whatever their number, lets tasks pass on
 only the windows that can meet an item; the join itself is Spark's and exact.
@@ -44,8 +46,10 @@ MOVED = 2
 ALIKE = 0.8
 #: A window that more than half of the classes of items hold is an instruction's, if it's more than so many classes.
 COMMON = 16
-#: An item of which this share is instruction is judged by all of it.
+#: An item of which this share is instruction is judged by all of it, as if it had none.
 SAID = 0.5
+#: Classes: an item's windows but its instruction's, an instruction's, and both parts of an item together.
+ITEM, INSTRUCTION, TOGETHER = 0, 1, 2
 #: What a document's matches are counted over: all of it, each occurrence of an item, each distance between item and text.
 WHOLE, OCCURRENCE, STRICT = 0, 1, 2
 BITMAP_BITS = 23
@@ -254,13 +258,15 @@ def bitmap_of(windows: DataFrame) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def classes_of(benchmark: DataFrame, text: str = "text", key: str = "item_id", size: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, totals, theirs): the items of a benchmark by their templates.
+def classes_of(benchmark: DataFrame, text: str = "text", key: str = "item_id", size: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """(members, totals, theirs, said): the items of a benchmark by their templates.
 
     Items whose windows are the same, one after the other, are a class, be their values equal or not; texts that share an item's id are items of
     their own. members: class, item, of (the class's item of the smallest id), slots_hash, one row an item. totals: class, n_windows, n_plain, literals. theirs: class, window,
-    place, item_slots, words, own windows of the item that stands for its class: all but an instruction's, which more than half of the
-    classes (and more than COMMON) hold, in items of which less than SAID is instruction. No other number of holders drops a window.
+    place, item_slots, words, own windows of the item that stands for its class. An instruction's windows, which more than half of the
+    classes (and more than COMMON) hold, in items of which less than SAID is instruction, are windows of the instruction's class instead, which
+    has those items as members and counts as a part of the shortest of them. said is None without instructions, else (roles, spoken); roles: class, role, base
+    (the class of the same items' own windows), instruction; spoken: class (ITEM), both (TOGETHER), instruction, window, place, item_slots of the instruction's windows of each class.
     """
     rows = windows_of(benchmark, text, key, size=size)
     whole = F.array_sort(F.collect_list(F.struct("at", "window", "slots", "plain", "words", "literals")))
@@ -272,17 +278,63 @@ def classes_of(benchmark: DataFrame, text: str = "text", key: str = "item_id", s
     windows = written(stands.select("class", F.explode("w").alias("x")).select("class", "x.*"), "classes")
     held = windows.select("class", "window").distinct().groupBy("window").agg(F.count("*").alias("held"))
     rated = windows.join(held.withColumn("instructs", F.col("held") > max(COMMON, windows.select("class").distinct().count() // 2)), "window")
-    said = rated.groupBy("class").agg(F.avg(F.col("instructs").cast("int")).alias("said"))
-    theirs = written(rated.join(said, "class").filter(~F.col("instructs") | (F.col("said") >= SAID)).select("class", "window", F.col("at").alias("place"), F.col("slots").alias("item_slots"), "plain", "words", "literals"), "own")
-    totals = theirs.groupBy("class").agg(F.count("*").alias("n_windows"), F.count_if("plain").alias("n_plain"), F.max("literals").alias("literals"))
-    return members, totals, theirs.drop("plain", "literals")
-
-
-def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", size: int = WINDOW, share: float = SHARE, many: int = MANY) -> DataFrame:
-    """(key, text_hash, item, n_matched, n_windows, coverage, kind) of each contaminated text and item.
-
-    n_matched counts the item's own windows (see classes_of) that the text holds with consistent slots, of n_windows, in the
-    text as a whole or in the item's best occurrence, whichever has more.
+    share = rated.groupBy("class").agg(F.avg(F.col("instructs").cast("int")).alias("share"))
+    instructs = (F.col("instructs") & (F.col("share") < SAID)).alias("instructs")
+    rated = written(rated.join(share, "class").select("class", "window", F.col("at").alias("place"), F.col("slots").alias("item_slots"), "plain", "words", "literals", instructs), "own")
+    counted = lambda df: df.groupBy("class").agg(F.count("*").alias("n_windows"), F.count_if("plain").alias("n_plain"), F.max("literals").alias("literals"))
+    told = rated.filter("instructs")
+    if told.isEmpty():
+        return members, counted(rated), rated.select("class", "window", "place", "item_slots", "words"), None
+
+    # alike in places, templates and which of the values are equal, so that a text holds as many windows of one as of the other
+    w = F.array_sort(F.collect_list(F.struct("place", "window", "item_slots", "plain")))
+    values = F.flatten(F.transform("w", lambda x: x["item_slots"]))
+    alike = F.xxhash64(
+        F.lit("instruction"),
+        F.transform("w", lambda x: x["place"] - F.col("w")[0]["place"]),
+        F.transform("w", lambda x: x["window"]),
+        F.transform("w", lambda x: F.when(~x["plain"], x["item_slots"])),
+        F.transform(values, lambda x: F.array_position(values, x)),
+    )
+    parts = written(told.groupBy("class").agg(w.alias("w")).select("class", F.xxhash64(F.lit("both"), "class").alias("both"), alike.alias("instruction")), "instructions")
+    as_class = lambda df, c: df.drop("class").withColumnRenamed(c, "class").select("class", *(x for x in df.columns if x not in ("class", "both", "instruction")))
+    ids = parts.select("class", "both")
+    spoken = written(told.select("class", "window", "place", "item_slots").join(parts, "class"), "spoken")
+    all_of = counted(rated).join(parts, "class")
+    part_of = all_of.groupBy("instruction").agg(F.min("n_windows").alias("n_windows"), F.min("n_plain").alias("n_plain"), F.max("literals").alias("literals"))
+    totals = counted(rated.filter("not instructs")).unionByName(as_class(all_of, "both")).unionByName(part_of.withColumnRenamed("instruction", "class"))
+    stand = parts.groupBy("instruction").agg(F.min("class").alias("class"))
+    theirs = rated.filter("not instructs").unionByName(as_class(told.join(stand, "class"), "instruction")).select("class", "window", "place", "item_slots", "words")
+    least = members.join(parts, "class").groupBy("instruction").agg(F.min("item").alias("of"))
+    # an instruction is never the whole of an item, so its values name none
+    asked = members.drop("of").join(parts, "class").drop("class", "both").join(least, "instruction").withColumnRenamed("instruction", "class")
+    roles = members.select("class").distinct().join(parts.drop("both"), "class", "left").select("class", F.lit(ITEM).alias("role"), F.col("class").alias("base"), "instruction")
+    roles = roles.unionByName(parts.select(F.col("both").alias("class"), F.lit(TOGETHER).alias("role"), F.col("class").alias("base"), "instruction"))
+    roles = roles.unionByName(stand.select(F.col("instruction").alias("class"), F.lit(INSTRUCTION).alias("role"), F.col("instruction").alias("base"), "instruction"))
+    members = members.unionByName(as_class(members.join(ids, "class"), "both")).unionByName(asked)
+    return written(members, "members"), written(totals, "totals"), written(theirs, "theirs"), (written(roles, "roles"), spoken)
+
+
+def with_instructions(met: DataFrame, spoken: DataFrame) -> DataFrame:
+    """met, and for each text and item that share a window beside the instruction's all their windows, of the class TOGETHER."""
+    met = written(met, "links")
+    ids = spoken.select("class", "both", "instruction").distinct()
+    own = met.join(ids, "class")
+    pairs = own.select("key", "text_hash", "class", "both", "instruction").distinct()
+    heard = met.join(ids.select(F.col("instruction").alias("class")).distinct(), "class").select("key", "text_hash", F.col("class").alias("instruction"), "window", "at", "slots", "plain").distinct()
+    same = F.col("h.key").eqNullSafe(F.col("p.key")) & (F.col("h.text_hash") == F.col("p.text_hash")) & (F.col("h.instruction") == F.col("p.instruction"))
+    also = heard.alias("h").join(pairs.alias("p"), same).select("h.*", "p.class", "p.both").join(spoken.select("class", "window", "place", "item_slots"), ["class", "window"])
+    columns = ["key", "text_hash", F.col("both").alias("class"), "window", "at", "slots", "plain", "place", "item_slots"]
+    return met.unionByName(own.select(*columns)).unionByName(also.select(*columns))
+
+
+def links(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", size: int = WINDOW, share: float = SHARE, many: int = MANY) -> DataFrame:
+    """(key, text_hash, item, n_matched, n_windows, coverage, kind) of each contaminated text and item, and of each text and instruction.
+
+    n_matched counts the item's windows that the text holds with consistent slots, of n_windows, in the
+    text as a whole or in the item's best occurrence, whichever has more. An item with an instruction (see classes_of) counts by its
+    other windows alone and by all its windows; by all only where those others are enough or the instruction alone is not. A text with enough of an instruction
+    for the shortest item that has it gets one row of kind "instruction" that names the smallest id of these items and has the windows of the shortest; such a row and the members stand for a row with each.
     Where an item's windows that aren't plain enough lower its coverage, the others alone are counted.
     kind is "exact" where every slot holds the item's own value, else "reparameterised". Windows of little but placeholders count with
     the item's own values; with others only where the text holds ALIKE of the item's windows, word by word at one distance, and
@@ -294,7 +346,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "d
     with its key and text gives one result, and so do several texts of one item id that a text holds; null keys are kept as null; extra columns are ignored;
     empty tables give an empty result.
     """
-    members, totals, theirs = classes_of(benchmark, item_text, item_key, size)
+    members, totals, theirs, said = classes_of(benchmark, item_text, item_key, size)
     short = tuple(sorted(r.words for r in theirs.filter(F.col("words") < size).select("words").distinct().collect()))  # fewer than size rows
     found = written(windows_of(df, text, key, bitmap_of(theirs), size, short), "windows")
     seen = found.groupBy("window").agg(F.count("*").alias("n"))
@@ -302,7 +354,9 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "d
     tight = F.col("plain") | (F.col("slots") == F.col("item_slots"))
     # a window has as many rows as classes hold it, which is as many links
     met = joined_to_one(found.drop("words", "literals"), theirs.drop("words"), "window", hot, F.xxhash64("text_hash", "at"))
-    both = written(met.filter(F.size("slots") == F.size("item_slots")).withColumn("tight", tight).join(totals.select("class", "n_windows", F.col("literals").alias("item_literals")), "class"), "matches")
+    met = met.filter(F.size("slots") == F.size("item_slots"))
+    met = with_instructions(met, said[1]) if said else met
+    both = written(met.withColumn("tight", tight).join(totals.select("class", "n_windows", F.col("literals").alias("item_literals")), "class"), "matches")
 
     group = ["key", "text_hash", "class", "turn"]
     pair = Window.partitionBy("key", "text_hash", "class")
@@ -343,13 +397,30 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "d
     stands = members.select("class", "of").distinct()
     out = out.join(stands, "class").withColumn("item", F.coalesce("named", "of"))
     kind = F.when(F.col("exact"), "exact").otherwise("reparameterised")
-    rows = out.select("key", "text_hash", "item", F.struct("best.coverage", "best.n_matched", "best.n_windows", kind.alias("kind")).alias("best"), F.col("exact"))
-    top = rows.groupBy("key", "text_hash", "item").agg(F.max_by("best", F.struct("exact", "best.coverage", "best.n_matched")).alias("best"))
+    out = one_of_parts(out, said[0]) if said else out.withColumn("role", F.lit(ITEM))
+    kind = F.when(F.col("role") == INSTRUCTION, "instruction").otherwise(kind)
+    rows = out.select("key", "text_hash", "item", "role", F.struct("best.coverage", "best.n_matched", "best.n_windows", kind.alias("kind")).alias("best"), F.col("exact"))
+    top = rows.groupBy("key", "text_hash", "item", "role").agg(F.max_by("best", F.struct("exact", "best.coverage", "best.n_matched")).alias("best"))
     return top.select(F.col("key").alias(key), "text_hash", F.col("item").alias(item_key), "best.n_matched", "best.n_windows", "best.coverage", "best.kind")
 
 
+def one_of_parts(out: DataFrame, roles: DataFrame) -> DataFrame:
+    """Of the rows of one text and item, by its own windows and TOGETHER, the best, with role ITEM; TOGETHER only if the own ones are enough or the instruction alone is not."""
+    within = lambda role, c: F.bool_or(F.col("role") == role).over(Window.partitionBy("key", "text_hash", c))
+    rows = out.join(roles, "class").withColumn("enough", within(ITEM, "base")).withColumn("heard", within(INSTRUCTION, "instruction"))
+    rows = rows.filter((F.col("role") != TOGETHER) | F.col("enough") | ~F.col("heard"))
+    role = F.when(F.col("role") == INSTRUCTION, INSTRUCTION).otherwise(ITEM).alias("role")
+    best = F.max_by(F.struct("item", "best", "exact", role), F.struct(F.col("named").isNotNull(), "exact", "best.coverage", "best.n_matched"))
+    return rows.groupBy("key", "text_hash", "base").agg(best.alias("top")).select("key", "text_hash", "top.*")
+
+
+def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", size: int = WINDOW, share: float = SHARE, many: int = MANY) -> DataFrame:
+    """links() with items alone: what a text holds of an instruction only makes no leak of the items that have it."""
+    return links(df, benchmark, text, key, item_text, item_key, size, share, many).filter(F.col("kind") != "instruction")
+
+
 def clean(df: DataFrame, found: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of df whose key and text are not in leaks(df, ...); all its columns, repeats and null keys too."""
+    """The rows of df whose key and text are not in leaks(df, ...) or links(df, ...); all its columns, repeats and null keys too."""
     bad = found.select(F.col(key).alias("bad_key"), F.col("text_hash").alias("bad_hash")).distinct().alias("bad")
     docs = df.alias("docs")
     same = F.col(f"docs.{key}").eqNullSafe(F.col("bad.bad_key")) & (hashed(F.col(f"docs.{text}")) == F.col("bad.bad_hash"))
@@ -357,6 +428,6 @@ def clean(df: DataFrame, found: DataFrame, text: str = "text", key: str = "doc_i
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5: documents that hold benchmark items, one row for each document and item."""
-    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """op5: documents that hold benchmark items, one row for each document and item, and for each document and instruction."""
+    found = links(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_matched", "n_windows", F.round("coverage", 6).alias("coverage"), "kind")
